@@ -1,11 +1,13 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training counts hashed features (a word and its prefixes of PREFIXES bytes) in toxic and in clean labelled documents, and in all
-documents for the Dirichlet prior.  A feature's log-odds ratio under that prior has a standard error; a token takes the log-odds
-of its most significant feature, or none, less a constant drift, so that clean text drifts down.  One linear scan finds every
-maximal-scoring segment of a document.  Under the null hypothesis the best of a text of n tokens follows an extreme-value
-law with E = K n exp(-lambda s); lambda solves the moment equation over the clean documents' token scores, K is set from
-their maxima, and a logistic curve over the E-values of the training documents gives the score.
+Training counts, for hashed features (a word and its prefixes of PREFIXES bytes), the toxic and the clean labelled documents
+that have them, and all documents for the Dirichlet prior.  A token takes the log-odds of its most significant feature (by
+likelihood ratio), or none, less a constant drift, so that clean text drifts down.  One linear scan finds every
+maximal-scoring segment of a document.  Under the null hypothesis segments of a text of n tokens follow an extreme-value
+law: a score s has K n exp(-lambda s) chance equals, and the r best together a known tail (Karlin and Altschul's sum
+statistic); lambda solves the moment equation over the clean documents' token scores, K is set from their segments, and a
+logistic curve over the training documents' tail probabilities gives the score.  Copies would count as independent
+evidence, so of training documents that share the least hash of their word triples one counts.
 
 Fixed-size state: the feature table has 2**BITS entries whatever the corpus; at most LABEL_SAMPLE labelled rows train (a hash
 of the id picks them if there are more).  Only counts, never rows, of the corpus are gathered.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundwell.llm.bytehash import PrefixHash, packed, runs
+from boundwell.llm.bytehash import PrefixHash, mix, packed, runs
 from boundwell.llm.runtime import cut
 
 BITS = 20
@@ -36,10 +38,15 @@ BLOCK = 1 << 12
 PREFIXES = (4, 5, 6, 7)
 #: Labelled rows that train, at most.
 LABEL_SAMPLE = 100_000
-PRIOR_TOKENS = 20_000.0
-MIN_Z = 4.0
-DRIFT = 0.05
+#: The prior's weight, as a part of the counts of the smaller class.
+PRIOR_PART = 0.2
+#: Least square root of the likelihood ratio, and least log-odds, of a feature that scores.
+MIN_SIGNIFICANCE = 4.5
+MIN_ODDS = 1.5
+DRIFT = 0.5
 CLIP = 6.0
+#: Segments that the sum statistic takes together, at most.
+BEST = 8
 
 TOKEN_BYTE = np.zeros(256, bool)
 TOKEN_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), 0x27, *range(0x80, 0x100)]] = True
@@ -68,6 +75,27 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(x or "").encode() for x in batch.column("text").to_pylist()]
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least hash of each text's triples of words (of its words, where it has fewer)."""
+    for batch in batches:
+        out = np.zeros(batch.num_rows, np.int64)
+        for first, doc, features, sizes in tokens(_texts(batch)):
+            h = mix(features[0].astype(np.uint64))
+            three = h.copy()
+            if len(h) > 2:
+                inside = doc[2:] == doc[:-2]
+                three[:-2] = np.where(inside, mix(h[:-2] + mix(h[1:-1] + mix(h[2:]))), np.uint64(2**64 - 1))
+                three[-2:] = np.uint64(2**64 - 1)
+            begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+            some = np.flatnonzero(sizes)
+            if len(some):
+                least = np.minimum.reduceat(three, begin[some])
+                short = sizes[some] < 3
+                least = np.where(short, np.add.reduceat(h, begin[some]), least)
+                out[first + some] = least.view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("toxic"), pa.array(out)], ["label_id", "toxic", "signature"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, toxic or null) to blocks of feature counts: all documents, toxic, clean."""
     totals = np.zeros((3, 1 << BITS), np.int64)
@@ -77,9 +105,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind = np.array([2 if label[first + i] is None else 1 - min(1, max(0, label[first + i])) for i in range(int(doc[-1]) + 1 if len(doc) else 0)], np.int64)
             for f in features:
                 ok = f >= 0
-                totals[0] += np.bincount(f[ok], minlength=1 << BITS)
+                once = np.unique((doc[ok] << BITS) | f[ok])
+                one, of = once & ((1 << BITS) - 1), once >> BITS
+                totals[0] += np.bincount(one, minlength=1 << BITS)
                 for k in (0, 1):
-                    if len(pick := f[ok & (kind[doc] == k)] if len(doc) else f[:0]):
+                    if len(pick := one[kind[of] == k]):
                         totals[1 + k] += np.bincount(pick, minlength=1 << BITS)
     blocks = [b for b in range((1 << BITS) // BLOCK) if totals[0, b * BLOCK : (b + 1) * BLOCK].any()]
     data = [zlib.compress(totals[:, b * BLOCK : (b + 1) * BLOCK].astype("<i8").tobytes(), 1) for b in blocks]
@@ -93,15 +123,20 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Of each feature: the clipped log-odds ratio toxic to clean if it is significant, else 0; and its |z| (2 rows)."""
+    """Of each feature: the clipped log-odds ratio toxic to clean if it is significant, else 0; and its significance (2 rows)."""
     everywhere, toxic, clean = counts.astype(float)
     if not toxic.sum() or not clean.sum():
         return np.zeros((2, counts.shape[1]), np.float32)
-    prior = PRIOR_TOKENS * (everywhere + 1e-3) / (everywhere.sum() + 1e-3 * len(everywhere))
+    weight = PRIOR_PART * min(toxic.sum(), clean.sum())
+    prior = weight * (everywhere + 1e-3) / (everywhere.sum() + 1e-3 * len(everywhere))
     a, b = toxic + prior, clean + prior
-    delta = np.log(a / (toxic.sum() + PRIOR_TOKENS - a)) - np.log(b / (clean.sum() + PRIOR_TOKENS - b))
-    z = delta / np.sqrt(1 / a + 1 / b)
-    return np.stack([np.where(np.abs(z) >= MIN_Z, np.clip(delta, -CLIP, CLIP), 0.0), np.abs(z)]).astype(np.float32)
+    delta = np.log(a / (toxic.sum() + weight - a)) - np.log(b / (clean.sum() + weight - b))
+    share = toxic.sum() / (toxic.sum() + clean.sum())
+    both = toxic + clean
+    term = lambda x, part: x * np.log(np.maximum(x, 1e-12) / np.maximum(both * part, 1e-12))
+    significance = np.sqrt(2 * np.maximum(term(toxic, share) + term(clean, 1 - share), 0.0))
+    scores = (significance >= MIN_SIGNIFICANCE) & (np.abs(delta) >= MIN_ODDS)
+    return np.stack([np.where(scores, np.clip(delta, -CLIP, CLIP), 0.0), significance]).astype(np.float32)
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -170,9 +205,16 @@ class Model:
     info: dict = field(default_factory=dict)
 
     def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
-        """-log of the least expected number of chance segments as good, over the text's segments."""
-        best = max((s for *_, s in segments), default=0.0)
-        return self.decay * best - math.log(self.k * max(n, 1))
+        """-log of the least tail probability of the text's r best segments together, over r."""
+        base = math.log(self.k * max(n, 1))
+        best, total = -base, 0.0
+        for r, s in enumerate(sorted((x[2] for x in segments), reverse=True)[:BEST], 1):
+            total += self.decay * s - base
+            if r == 1:
+                best = max(best, total)
+            elif total > r:
+                best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+        return best
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * evidence + self.bias))))
@@ -196,18 +238,18 @@ def _moment_root(histogram: np.ndarray) -> float:
     return max(0.05, lo)
 
 
-def fit(table: np.ndarray, rows: list[tuple[int, int, float]], histogram: np.ndarray) -> Model:
-    """rows: (toxic, tokens, best segment's score) of the training documents; histogram: the clean ones' token scores."""
+def fit(table: np.ndarray, rows: list[tuple[int, int, list[float]]], histogram: np.ndarray) -> Model:
+    """rows: (toxic, tokens, best segments' scores) of the training documents; histogram: the clean ones' token scores."""
     model = Model(table)
     if not any(r[0] for r in rows) or all(r[0] for r in rows):
         return model
     model.decay = _moment_root(histogram)
     clean = [(n, s) for y, n, s in rows if not y]
-    # K such that the null law expects as many clean documents with any segment as there are.
-    hits = sum(1 for _, s in clean if s > 0)
-    expected = sum(max(n, 1) * math.exp(-model.decay * s) for n, s in clean if s > 0) / max(1, hits)
-    model.k = 1 / max(expected, 1.0)
-    x = np.array([model.evidence(n, [(0, 0, s)] if s > 0 else []) for _, n, s in rows])
+    # K such that the law expects as many segments of a word's strength or more as the clean documents have.
+    least = MIN_ODDS
+    seen = sum(1 for _, s in clean for x in s if x >= least) + 0.5
+    model.k = seen / (sum(max(n, 1) for n, _ in clean) * math.exp(-model.decay * least))
+    x = np.array([model.evidence(n, [(0, 0, v) for v in s]) for _, n, s in rows])
     y = np.array([r[0] for r in rows], float)
     mean, scale = x.mean(), x.std() + 1e-9
     u, a, b = (x - mean) / scale, 0.0, math.log(y.mean() / (1 - y.mean()))
@@ -241,6 +283,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most `sample` rows of two numbers: the only thing that is broadcast here.
     picked = F.broadcast(cut(_sample(labels, id_col, label_col, sample)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed = texts.join(picked, F.col("id") == F.col("label_id")).mapInArrow(_signatures, "label_id long, toxic int, signature long")
+    unlike = signed.groupBy("signature", "toxic").agg(F.min("label_id").alias("label_id")).select("label_id", "toxic").distinct()
+    picked = F.broadcast(cut(unlike))
     marked = texts.join(picked, F.col("id") == F.col("label_id"), "left").select("text", "toxic")
     blocks = marked.mapInArrow(_count, "block int, counts binary").groupBy("block").applyInPandas(_sum, "block int, counts binary").collect()
     counts = np.zeros((3, 1 << BITS), np.int64)
@@ -251,19 +296,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         histogram = np.zeros(141, np.int64)
+        names = ["toxic", "n", "best", "histogram"]
         for batch in batches:
             label = batch.column("toxic").to_pylist()
             found, each = segments_of(_texts(batch), shared.value, with_histogram=True)
             for y, h in zip(label, each, strict=True):
                 histogram += 0 if y else h
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array([max((x[2] for x in s), default=0.0) for _, s in found], pa.float64()), pa.array([None] * len(found), pa.binary())], ["toxic", "n", "best", "histogram"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([0], pa.int64()), pa.array([0.0], pa.float64()), pa.array([histogram.tobytes()], pa.binary())], ["toxic", "n", "best", "histogram"])
+            top = [sorted((x[2] for x in s), reverse=True)[:BEST] for _, s in found]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array(top, pa.list_(pa.float64())), pa.nulls(len(found), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float64())), pa.array([histogram.tobytes()], pa.binary())], names)
 
-    trained = marked.where("toxic is not null").mapInArrow(best, "toxic int, n long, best double, histogram binary")
     rows, histogram = [], np.zeros(141, np.int64)
-    for y, n, s, h in trained.collect():
+    for y, n, top, h in marked.where("toxic is not null").mapInArrow(best, "toxic int, n long, best array<double>, histogram binary").collect():
         if h is None:
-            rows.append((y, n, s))
+            rows.append((y, n, top))
         else:
             histogram += np.frombuffer(h, np.int64)
     return fit(table, rows, histogram)
