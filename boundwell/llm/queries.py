@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boundwell.llm import bpe, chat, exact_dedup, near_dedup, packing, toxicity, url_filter, warc
+from boundwell.llm import bpe, chat, exact_dedup, near_dedup, packing, suffix_dedup, toxicity, url_filter, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -42,6 +42,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), words=2)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,7 +62,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_url_filter, op4_near_dedup, op7_toxicity, op8_packing, op9_warc, op10_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_url_filter, op4_near_dedup, op6_suffix_dedup, op7_toxicity, op8_packing, op9_warc, op10_chat)}
 
 SQL = {
     "op1_exact_dedup": r"""
