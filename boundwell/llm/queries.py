@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boundwell.llm import bpe, chat, exact_dedup, near_dedup, packing, suffix_dedup, toxicity, url_filter, warc
+from boundwell.llm import bpe, chat, embedding_dedup, exact_dedup, near_dedup, packing, suffix_dedup, toxicity, url_filter, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,7 +21,7 @@ def rules(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def vocabulary() -> str:
@@ -31,38 +31,42 @@ def vocabulary() -> str:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules(spark, RULES))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules(spark, RULES))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), words=2)
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=2)
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents")).drop("spans")
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_url_filter, op4_near_dedup, op6_suffix_dedup, op7_toxicity, op8_packing, op9_warc, op10_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_url_filter, op4_near_dedup, op5_embedding_dedup, op6_suffix_dedup, op7_toxicity, op8_packing, op9_warc, op10_chat)}
 
 SQL = {
     "op1_exact_dedup": r"""

@@ -1,29 +1,59 @@
-"""Clean a document corpus: toxicity, exact copies, near copies, repeated passages, packing."""
+"""Clean a document corpus: toxic documents, exact copies, near copies and repeated passages go, the rest is packed.
+
+Every stage works on all that the one before it kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boundwell.llm import exact_dedup, toxicity
-from boundwell.llm.queries import _table
+from boundwell.llm import exact_dedup, near_dedup, packing, suffix_dedup, toxicity
+from boundwell.llm.queries import table, vocabulary
+from boundwell.llm.runtime import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
+    """Documents that the classifier, trained on the labelled ones, doesn't reject."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of texts that are equal without white space."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of five-word shingles at 0.8 hold together."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings of 200 that also stand elsewhere."""
+    return suffix_dedup.drop_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the texts, placed in sequences of 2048 tokens."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("suffix_dedup", drop_repeated_passages),
+    ("packing", pack),
+]
 
-#: SQL has no words for the classifier, suffix sort or tokenizer.
+#: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    """All stages over documents, each from the files of the one before."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
     return docs
