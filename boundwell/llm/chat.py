@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,6 +107,21 @@ def trace(roles: list[str | None], first: int, last: int, costs: Costs) -> list[
     return out[::-1]
 
 
+def chain(blocks: list[tuple[int, list[int]]], costs: Costs) -> list[tuple[int, int, int, int]]:
+    """(block, state before, state after, cost of the conversation) for the (block, matrix) of a conversation in order."""
+    best, came = [0, FAR, FAR, FAR], []
+    for _, m in blocks:
+        ways = [min((best[a] + m[4 * a + b], a) for a in range(4)) for b in range(4)]
+        came.append([a for _, a in ways])
+        best = [cost for cost, _ in ways]
+    total, state = min((best[s] + ending(s, costs)[0], s) for s in range(4))
+    out = []
+    for (block, _), back in zip(reversed(blocks), reversed(came), strict=True):
+        out.append((block, back[state], state, total))
+        state = back[state]
+    return out[::-1]
+
+
 def _message(role: int, text: str = "") -> str:
     return f"<|im_start|>{ROLES[role - 1]}\n{text}"
 
@@ -156,28 +170,41 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     conv_arrow = to_arrow_type(base.schema["conv"].dataType)
     matrices = cut(dealt.select("conv", "block", "role").mapInArrow(priced, f"conv {conv_type}, block long, matrix array<long>"))
 
-    # Prefix and suffix products along a conversation's blocks: how each block is entered and left on the cheapest way.
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", ignore_index=True)
-        best, came = [0, FAR, FAR, FAR], []
-        for m in pdf["matrix"]:
-            ways = [[(best[a] + int(m[4 * a + b]), a) for a in range(4)] for b in range(4)]
-            came.append([min(w)[1] for w in ways])
-            best = [min(w)[0] for w in ways]
-        total, state = min((best[s] + ending(s, costs)[0], s) for s in range(4))
-        left = [0] * len(came)
-        entered = [0] * len(came)
-        for i in range(len(came) - 1, -1, -1):
-            left[i], state = state, came[i][state]
-            entered[i] = state
-        return pd.DataFrame({"conv": pdf["conv"], "block": pdf["block"], "entered": entered, "left": left, "cost": total, "first": pdf.index == 0, "last": pdf.index == len(pdf) - 1})
-
-    ends = matrices.groupBy("conv").applyInPandas(chain, f"conv {conv_type}, block long, entered int, left int, cost long, first boolean, last boolean")
+    # How each block is entered and left on the cheapest way, from a conversation's matrices in order.
+    names = ("conv", "block", "entered", "left", "cost", "first", "last")
+    kinds = (conv_arrow, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
+
+    def chained(batches):
+        conv, held, out = None, [], []
+
+        def close() -> None:
+            for (block_, entered, left, cost), i in zip(chain(held, costs), range(len(held)), strict=True):
+                out.append((conv, block_, entered, left, cost, i == 0, i == len(held) - 1))
+
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], list(names))
+
+        for batch in batches:
+            for c, blk, matrix in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and c != conv:
+                    close()
+                    held = []
+                conv = c
+                held.append((blk, matrix))
+            if len(out) > 10_000:
+                yield table()
+                out = []
+        if held:
+            close()
+        yield table()
+
+    in_order = matrices.repartition("conv").sortWithinPartitions("conv", "block")
+    ends = in_order.mapInArrow(chained, f"conv {conv_type}, block long, entered int, left int, cost long, first boolean, last boolean")
     ends = ends.withColumnsRenamed({"conv": "_conv", "block": "_block"})
     joined = base.join(ends.hint("shuffle_merge"), F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block"))).drop("_conv", "_block")
     ready = joined.repartition("conv", "block").sortWithinPartitions("conv", "block", F.col("turn").asc_nulls_last(), "role", "text")
 
-    names = ("conv_id", "turn", "block", "place", "action", "role", "inserted_before", "inserted_after", "cost", "piece")
+    shown = ("conv_id", "turn", "block", "place", "action", "role", "inserted_before", "inserted_after", "cost", "piece")
     types = (conv_arrow, pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string())
 
     def written(batches):
@@ -188,6 +215,6 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                 tail = ending(r["left"], costs)[1] if r["last"] and i == len(rows) - 1 else None
                 piece = render(action, to, gap, r["text"], r["first"] and i == 0, tail)
                 out.append((conv, r["turn"], blk, i, action, ROLES[to - 1], len(gap), len(tail or ()), r["cost"], piece))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], list(names))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], list(shown))
 
     return ready.mapInArrow(written, f"conv_id {conv_type}, turn long, block long, place int, action string, role string, inserted_before int, inserted_after int, cost long, piece string")

@@ -240,5 +240,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays = build_index(rows).select(F.col("digest").alias("_digest"), F.col("best_id").alias("_id"), F.col("best_len").alias("_len"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     full = docs.withColumns({digest: text_digest(text), length: F.length(text).cast("long")})
-    same = (full[digest] == F.col("_digest")) & (F.coalesce(full[id_col].cast("long"), F.lit(NO_ID)) == F.col("_id")) & (full[length] == F.col("_len"))
+    same = (full[digest] == stays["_digest"]) & (F.coalesce(full[id_col].cast("long"), F.lit(NO_ID)) == stays["_id"]) & (full[length] == stays["_len"])
     return full.join(stays, same, "left_semi").dropDuplicates([digest]).select(docs.columns)

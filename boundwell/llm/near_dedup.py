@@ -313,4 +313,4 @@ def _confirmed(docs: DataFrame, classes: DataFrame, hoods: DataFrame, words: int
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, with all its columns."""
     kept = near_dedup(docs, words, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_merge"), docs[id_col].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi").select(docs.columns)
+    return docs.join(kept.hint("shuffle_merge"), docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi").select(docs.columns)

@@ -418,7 +418,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     spans = cut(repeated_spans(_keyed(docs, id_col, text_col), length))
     key, found = fresh(docs, "key"), fresh(docs, "spans")
     full = docs.withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    joined = full.join(spans.select(F.col("key").alias("_span_key"), F.col("spans").alias(found)).hint("shuffle_merge"), F.col(key) == F.col("_span_key"), "left").select(*docs.columns, found)
+    removed = spans.select(F.col("key").alias(fresh(full, "span_key")), F.col("spans").alias(found))
+    joined = full.join(removed.hint("shuffle_merge"), full[key] == removed[removed.columns[0]], "left").select(*docs.columns, found)
     k = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
