@@ -205,13 +205,13 @@ class Model:
     info: dict = field(default_factory=dict)
 
     def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
-        """-log of the least tail probability of the text's r best segments together, over r."""
+        """-log of the least chance, over r, that a clean text's r best segments are as good together; 0 without segments."""
         base = math.log(self.k * max(n, 1))
-        best, total = -base, 0.0
+        best = total = 0.0
         for r, s in enumerate(sorted((x[2] for x in segments), reverse=True)[:BEST], 1):
             total += self.decay * s - base
             if r == 1:
-                best = max(best, total)
+                best = -math.log(max(-math.expm1(-math.exp(min(50.0, -total))), 1e-300)) if total < 600 else total
             elif total > r:
                 best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
         return best

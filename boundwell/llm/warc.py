@@ -37,23 +37,25 @@ def base32_sha1(state) -> str:
 
 
 def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(record, n_bytes, chunk_no, data): payload bytes in pieces, in order; an empty payload is one empty piece. records: record, payload binary, ..."""
+    """records with last_chunk, chunk_no and data instead of payload: its bytes in pieces, in order; an empty payload is one empty piece."""
     rest = [c for c in records.columns if c != "payload"]
-    n = F.length("payload")
-    pieces = records.select(*rest, "payload", F.posexplode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / chunk) - 1).cast("int"))).alias("chunk_no", "_"))
-    return pieces.select(*rest, n.cast("long").alias("n_bytes"), "chunk_no", F.col("payload").substr(F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
+    last = F.greatest(F.lit(0), F.ceil(F.length("payload") / chunk) - 1).cast("int")
+    pieces = records.withColumn("last_chunk", last).select(*rest, "payload", "last_chunk", F.explode(F.sequence(F.lit(0), F.col("last_chunk"))).alias("chunk_no"))
+    return pieces.select(*rest, "last_chunk", "chunk_no", F.col("payload").substr(F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
 
 
 def _payload_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, n_bytes, chunk_no, data), a payload's chunks together: one row (page_id, n_bytes, sha1) for each payload."""
-    state = hashlib.sha1()
+    """Rows (page_id, last_chunk, chunk_no, data), a payload's chunks together: one row (page_id, n_bytes, sha1) for each payload."""
+    state, n = hashlib.sha1(), 0
     for batch in batches:
         out = []
-        for page, n, k, data in zip(batch.column("page_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("chunk_no").to_pylist(), batch.column("data"), strict=True):
+        for page, last, k, data in zip(*(batch.column(c).to_pylist() for c in ("page_id", "last_chunk", "chunk_no")), batch.column("data"), strict=True):
             if k == 0:
-                state = hashlib.sha1()
-            state.update(data.as_buffer())
-            if (k + 1) * CHUNK >= n:
+                state, n = hashlib.sha1(), 0
+            piece = data.as_buffer()
+            state.update(piece)
+            n += piece.size
+            if k == last:
                 out.append((page, n, state.hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["page_id", "n_bytes", "sha1"])
 
@@ -104,12 +106,10 @@ def _serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, data in enumerate(batch.column("data")):
             r = {c: v[i] for c, v in cols.items()}
-            last = max(0, -(-r["n_bytes"] // CHUNK) - 1) if r["record_type"] == "response" else 0
-            if r["chunk_no"] > last:
-                continue
+            last = r["last_chunk"]
             if r["chunk_no"] == 0:
                 state = hashlib.sha1()
-            block = data.as_py() if r["record_type"] == "response" else b""
+            block = data.as_py()
             state.update(block)
             text = header(r["page_id"], r["url"], r["record_type"], r["sha1"], r["n_bytes"], r["refers_to"]) if r["chunk_no"] == 0 else b""
             rows.append((r["record"], last, r["chunk_no"], text + block + (2 * CRLF if r["chunk_no"] == last else b""), state.hexdigest()))
@@ -117,7 +117,7 @@ def _serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], ["record", "last_chunk", "chunk_no", "bytes", "sha1_so_far"])
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk: int = CHUNK) -> None:
     """Write the pages' WARC records to the table at path.
 
     The pages are read twice, first for the digests alone: a payload is moved only once, to meet its record's type.
@@ -127,13 +127,13 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         F.col(url_col).alias("url"),
         F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"),
     )
-    digests = cut(chunked(base.select("page_id", "payload")).mapInArrow(_payload_digests, "page_id long, n_bytes long, sha1 string"))
-    types = classify(digests, min_bytes).withColumnsRenamed({"page_id": "_page_id", "sha1": "_sha1", "n_bytes": "full_bytes"})
+    digests = cut(chunked(base.select("page_id", "payload"), chunk).mapInArrow(_payload_digests, "page_id long, n_bytes long, sha1 string"))
+    types = classify(digests, min_bytes).withColumnsRenamed({"page_id": "_page_id", "sha1": "_sha1"})
     keyed = base.withColumn("sha1", F.sha1("payload"))
     full = keyed.join(types.hint("shuffle_merge"), keyed["page_id"].eqNullSafe(F.col("_page_id")) & (F.col("sha1") == F.col("_sha1")))
     stored = full.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.unhex(F.lit(""))))
-    rows = chunked(stored.select(F.monotonically_increasing_id().alias("record"), "page_id", "url", "full_bytes", "sha1", "record_type", "refers_to", "payload"))
-    rows.drop("n_bytes").withColumnRenamed("full_bytes", "n_bytes").mapInArrow(_serialize, ARCHIVE).write.option("compression", "zstd").parquet(path)
+    rows = chunked(stored.select(F.monotonically_increasing_id().alias("record"), "page_id", "url", "n_bytes", "sha1", "record_type", "refers_to", "payload"), chunk)
+    rows.mapInArrow(_serialize, ARCHIVE).write.option("compression", "zstd").parquet(path)
 
 
 class RecordReader:
@@ -222,10 +222,10 @@ def read_warc(source: BinaryIO, piece: int = 1 << 16) -> Iterator[tuple]:
         yield reader.result()
 
 
-def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Write the pages as archives to the shared folder and read them back: RESULT rows, one per page."""
     spark = pages.sparkSession
     run = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     path = f"{use_checkpoint_dir(spark).rstrip('/')}/warc-{run}"
-    write_archive(pages, path, id_col, url_col, payload_col, min_bytes)
+    write_archive(pages, path, id_col, url_col, payload_col, min_bytes, chunk)
     return read_archive(spark.read.schema(ARCHIVE).parquet(path))
