@@ -73,6 +73,6 @@ def restore(stream: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     grain = 1 << 16
     spans = manifest.where("numel > 0").select("name", "shape", "offset", "numel", F.explode(F.sequence(F.floor(F.col("offset") / grain), F.floor((F.col("offset") + F.col("numel") - 1) / grain))).alias("grain"))
-    placed = stream.withColumn("grain", F.floor(F.col("pos") / grain)).join(spans, "grain").where("pos >= offset and pos < offset + numel")
+    placed = stream.select("pos", "x").withColumn("grain", F.floor(F.col("pos") / grain)).join(spans, "grain").where("pos >= offset and pos < offset + numel")
     whole = placed.groupBy("name", "shape", "offset", "numel").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
     return whole.where(F.size("v") == F.col("numel")).select("name", "shape", "offset", F.transform("v", lambda e: e["x"]).alias("values"))
