@@ -79,6 +79,32 @@ WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([
 r(h, p, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 f AS (SELECT u.*, r.h || r.p AS rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS k FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM f WHERE k = 1""",
+    "op4_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(words) = 1 THEN words ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS grams FROM w),
+s AS MATERIALIZED (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id AND r.c < l.b),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT g.doc_id, len(grams) AS n_shingles, component_id, g.doc_id = component_id AS kept FROM g JOIN m ON g.doc_id = m.doc_id""",
+    "op5_embedding_dedup": r"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id AND r.c < l.b),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT m.vec_id, coalesce(n_links, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON m.vec_id = n.a""",
+    "op6_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS e, strlen(coalesce(text, '')) AS n FROM documents),
+k AS (SELECT doc_id, s, md5(e[s + 1 : s + 200]) AS f FROM (SELECT doc_id, e, unnest(range(0, n - 199)) AS s FROM d WHERE n >= 200)),
+c AS (SELECT doc_id, s FROM k WHERE f IN (SELECT f FROM k GROUP BY f HAVING count(*) > 1)),
+o AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM c),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM o),
+x AS (SELECT doc_id, min(s) AS a, max(s) + 200 AS b FROM i GROUP BY doc_id, run),
+y AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM x GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN e ELSE unhex(array_to_string(list_transform(range(0, n_spans + 1), lambda j: hex(e[(CASE WHEN j = 0 THEN 0 ELSE b[j] END) + 1 : CASE WHEN j = n_spans THEN n ELSE a[j + 1] END])), '')) END) AS kept_sha256 FROM d LEFT JOIN y ON d.doc_id = y.doc_id""",
     "op9_warc": r"""
 WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 b AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS newest, list_transform(range(0, 8), lambda i: ('0x' || h[5 * i + 1 : 5 * i + 5])::BIGINT) AS parts FROM d),
