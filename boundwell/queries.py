@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from boundwell.config import CODE_MAX, Config
 from boundwell.functions import scalar as S
 from boundwell.operators import cluster, kmeans, packing, residual, sizes, stream, verify
+from boundwell.plans import report
 
 DIM, VPW, EB = 64, 8192, 1e-4
 BOUNDS = (1e-2, 1e-3, 1e-4, 1e-5, 1e-6)
@@ -309,6 +310,11 @@ def q_run_stats(spark, sf_dir):
     return total.withColumns({c: F.round(c, 9) for c in ("max_error", "ratio", "bits_per_value")})
 
 
+def q_experiment_summary(spark, sf_dir):
+    s = report.sweep_summary(rows_of(spark, sf_dir), BOUNDS)
+    return s.select(F.round(-F.log10("bound")).cast("int").alias("exponent"), "windows", "n_values", "k", "occupied", "n_outliers", F.round("max_error", 9).alias("max_error"), F.round("mean_error", 9).alias("mean_error"))
+
+
 def q_pack_roundtrip(spark, sf_dir):
     """Pack and unpack give the decoded stream."""
     return packing.unpack(packing.pack_clusters(encoded(spark, sf_dir, zeros)))
@@ -447,6 +453,11 @@ SQL: dict[str, str] = {
     "escape_overlay": _with(Z, _encoded(EB)) + _DECODED,
     "escape_zeros": "SELECT x = 0 AS esc, count(*) AS n, min(x) AS low, max(x) AS high FROM (SELECT l_discount::FLOAT AS x FROM lineitem) GROUP BY 1",
     "bound_sweep": " UNION ALL ".join(f"SELECT {n} AS exponent, w, k, occupied, n_escapes FROM ({_with(P, _encoded(b)) + _STATS})" for n, b in zip((2, 3, 4, 5, 6), BOUNDS, strict=True)),
+    "experiment_summary": " UNION ALL ".join(
+        f"SELECT {n} AS exponent, count(*) AS windows, sum(n)::BIGINT AS n_values, max(k) AS k, max(occupied) AS occupied, sum(n_escapes)::BIGINT AS n_outliers, max(max_error) AS max_error, round(sum(mean0 * n) / sum(n), 9) AS mean_error "
+        f"FROM ({_with(P, _encoded(b)) + _STATS.replace('round(mean_error, 9) AS mean_error', 'mean_error AS mean0')})"
+        for n, b in zip((2, 3, 4, 5, 6), BOUNDS, strict=True)
+    ),
     "cluster_verify": _with(P, _encoded(EB), f"d AS (SELECT w, CASE WHEN x = 0 OR esc THEN 0.0::DOUBLE ELSE rel0 END AS err FROM e)") + f"SELECT count(*)::BIGINT AS n_values, count(DISTINCT w) AS n_windows, round(max(err), 9) AS max_error, (count(*) FILTER (err > {EB!r}))::BIGINT AS violations, count(*) FILTER (err > {EB!r}) = 0 AS passed FROM d",
     "unmatched": _with(P) + "SELECT w, i, 1 AS in_source, NULL::INT AS in_decoded FROM r WHERE i % 1000 = 5",
     "sign_bytes": _with(P) + "SELECT w, i // 8 AS byte, sum(CASE WHEN x < 0 THEN 1 << (i % 8)::INT ELSE 0 END)::INT AS bits FROM r GROUP BY w, i // 8",
