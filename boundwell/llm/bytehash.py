@@ -10,11 +10,12 @@ from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 & ~7 | 5  # 5 mod 8: the highest multiplicative order of an odd base
 #: Bytes of text that one batch holds, unless a single text is longer.
-BATCH = 1 << 21
+BATCH = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,6 +64,25 @@ class PrefixHash:
         return mix(self.of(start, end) + (end - start).astype(U))
 
 
+def slices(column: pa.Array, limit: int = BATCH) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a string column as UTF-8, null as empty, a few at a time: about limit bytes or one text; with the place of the first."""
+    column = column.cast(pa.large_string())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    valid = np.ones(len(column), bool) if not column.null_count else column.is_valid().to_numpy(zero_copy_only=False)
+    data = memoryview(data) if data is not None else memoryview(b"")
+    texts: list[bytes] = []
+    first = size = 0
+    for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        if size and size + b - a > limit:
+            yield first, texts
+            texts, first, size = [], i, 0
+        texts.append(bytes(data[a:b]) if valid[i] else b"")
+        size += b - a + 1
+    if texts:
+        yield first, texts
+
+
 def packed(texts: Sequence[bytes], limit: int = BATCH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of texts as (index of the first, buffer, starts, ends); a newline stands after each text."""
     first, size = 0, 0

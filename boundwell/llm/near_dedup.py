@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundwell.llm.bytehash import WORD_BYTE, PrefixHash, U, mix, packed, runs
+from boundwell.llm.bytehash import WORD_BYTE, PrefixHash, U, mix, packed, runs, slices
 from boundwell.llm.components import Forest, components
 from boundwell.llm.runtime import cut
 
@@ -44,6 +44,13 @@ NO_ID = 1 << 62
 _FACTORS = np.random.default_rng(4).integers(1, 1 << 63, SAMPLES, dtype=U) * U(2) + U(1)
 
 
+def column_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """shingle_sets() of a string column, a slice at a time."""
+    for start, texts in slices(column):
+        for first, hashed, bounds in shingle_sets(texts, words):
+            yield start + first, hashed, bounds
+
+
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For slices of texts: the index of the first, the documents' distinct shingles one after another (each sorted), and their bounds."""
     for first, buf, starts, _ in packed([t.lower() for t in texts]):
@@ -116,8 +123,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            for first, hashed, bounds in shingle_sets(texts, words):
+            for first, hashed, bounds in column_sets(batch.column("text"), words):
                 n = len(bounds) - 1
                 d = set_digests(hashed, bounds)
                 samples = minhash(hashed, bounds)
@@ -292,9 +298,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, hoods: DataFrame, words: int
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["hood", "blocks", "node", "shingles"]
         for batch in batches:
-            texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             d1, d2 = (batch.column(c).to_numpy() for c in ("d1", "d2"))
-            for first, hashed, bounds in shingle_sets(texts, words):
+            for first, hashed, bounds in column_sets(batch.column("text"), words):
                 own = set_digests(hashed, bounds)
                 n = len(bounds) - 1
                 # Of rows of equal id, those whose set is the class's.

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundwell.llm.bytehash import PrefixHash, U, mix, packed
+from boundwell.llm.bytehash import PrefixHash, U, mix, packed, slices
 from boundwell.llm.near_dedup import _bounds, _groups
 from boundwell.llm.runtime import cut, fresh
 
@@ -41,7 +41,7 @@ LENGTH = 200
 #: Bytes of an anchor string, as a part of a window.
 GRAM_PART = 4
 #: Bytes of a text that are looked at together.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 #: Classes of one anchor string that a task sorts together.
 GROUP = 20_000
 LARGE = U(2**64 - 1)
@@ -105,10 +105,6 @@ def segments(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, Pref
         yield buf, hashes, at[mine], info[mine, 0], place[mine]
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [(x or "").encode() for x in batch.column("text").to_pylist()]
-
-
 ANCHOR = "h long, c long, key long, pos long, l int, r int"
 
 
@@ -118,16 +114,16 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = length - length // GRAM_PART
         for batch in batches:
-            texts = _texts(batch)
-            sizes = np.array([len(t) for t in texts], np.int64)
-            key = batch.column("key").to_numpy()
-            for buf, hashes, at, own, place in segments(texts, length):
-                if not len(at):
-                    continue
-                l, r = np.minimum(place, back), np.minimum(sizes[own] - place, length)
-                h = mix(hashes.of(at, at + length // GRAM_PART))
-                c = mix(PrefixHash(buf, seed=2).of(at - l, at + r) + (l * 1024 + r).astype(U))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(key[own]), pa.array(place), pa.array(l.astype(np.int32)), pa.array(r.astype(np.int32))], ["h", "c", "key", "pos", "l", "r"])
+            for first, texts in slices(batch.column("text"), SEGMENT):
+                sizes = np.array([len(t) for t in texts], np.int64)
+                key = batch.column("key").slice(first, len(texts)).to_numpy()
+                for buf, hashes, at, own, place in segments(texts, length):
+                    if not len(at):
+                        continue
+                    l, r = np.minimum(place, back), np.minimum(sizes[own] - place, length)
+                    h = mix(hashes.of(at, at + length // GRAM_PART))
+                    c = mix(PrefixHash(buf, seed=2).of(at - l, at + r) + (l * 1024 + r).astype(U))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(key[own]), pa.array(place), pa.array(l.astype(np.int32)), pa.array(r.astype(np.int32))], ["h", "c", "key", "pos", "l", "r"])
 
     return docs.mapInArrow(run, ANCHOR)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundwell.llm.bytehash import PrefixHash, mix, packed, runs
+from boundwell.llm.bytehash import PrefixHash, mix, packed, runs, slices
 from boundwell.llm.runtime import cut
 
 BITS = 20
@@ -52,6 +52,13 @@ TOKEN_BYTE = np.zeros(256, bool)
 TOKEN_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), 0x27, *range(0x80, 0x100)]] = True
 
 
+def column_tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """tokens() of a string column, a slice at a time."""
+    for start, texts in slices(column):
+        for first, *rest in tokens(texts):
+            yield start + first, *rest
+
+
 def tokens(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
     """For slices of texts: the first's index, the document of each token, its features (equal-length arrays, -1: none), and each document's number of tokens."""
     for first, buf, starts, _ in packed([t.lower() for t in texts]):
@@ -71,15 +78,11 @@ def tokens(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[np.ndarra
         yield first, doc, features, np.bincount(doc, minlength=len(starts))
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [(x or "").encode() for x in batch.column("text").to_pylist()]
-
-
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least hash of each text's triples of words (of its words, where it has fewer)."""
     for batch in batches:
         out = np.zeros(batch.num_rows, np.int64)
-        for first, doc, features, sizes in tokens(_texts(batch)):
+        for first, doc, features, sizes in column_tokens(batch.column("text")):
             h = mix(features[0].astype(np.uint64))
             three = h.copy()
             if len(h) > 2:
@@ -101,16 +104,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals = np.zeros((3, 1 << BITS), np.int64)
     for batch in batches:
         label = batch.column("toxic").to_pylist()
-        for first, doc, features, _ in tokens(_texts(batch)):
+        for first, doc, features, _ in column_tokens(batch.column("text")):
             kind = np.array([2 if label[first + i] is None else 1 - min(1, max(0, label[first + i])) for i in range(int(doc[-1]) + 1 if len(doc) else 0)], np.int64)
             for f in features:
                 ok = f >= 0
                 once = np.unique((doc[ok] << BITS) | f[ok])
                 one, of = once & ((1 << BITS) - 1), once >> BITS
-                totals[0] += np.bincount(one, minlength=1 << BITS)
+                np.add.at(totals[0], one, 1)
                 for k in (0, 1):
-                    if len(pick := one[kind[of] == k]):
-                        totals[1 + k] += np.bincount(pick, minlength=1 << BITS)
+                    np.add.at(totals[1 + k], one[kind[of] == k], 1)
     blocks = [b for b in range((1 << BITS) // BLOCK) if totals[0, b * BLOCK : (b + 1) * BLOCK].any()]
     data = [zlib.compress(totals[:, b * BLOCK : (b + 1) * BLOCK].astype("<i8").tobytes(), 1) for b in blocks]
     if blocks:
@@ -171,6 +173,14 @@ def token_scores(features: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     return best - np.float32(DRIFT)
 
 
+def column_segments(column: pa.Array, table: np.ndarray, with_histogram: bool = False):
+    """segments_of() of a string column, a slice at a time."""
+    parts = [segments_of(texts, table, with_histogram) for _, texts in slices(column)]
+    if with_histogram:
+        return [x for p in parts for x in p[0]], [x for p in parts for x in p[1]]
+    return [x for p in parts for x in p]
+
+
 def segments_of(texts: list[bytes], table: np.ndarray, with_histogram: bool = False):
     """For each text: its number of tokens and its maximal segments, as (first token, end, score); and a histogram of all scores, in tenths."""
     out: list[tuple[int, list[tuple[int, int, float]]]] = []
@@ -299,7 +309,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         names = ["toxic", "n", "best", "histogram"]
         for batch in batches:
             label = batch.column("toxic").to_pylist()
-            found, each = segments_of(_texts(batch), shared.value, with_histogram=True)
+            found, each = column_segments(batch.column("text"), shared.value, with_histogram=True)
             for y, h in zip(label, each, strict=True):
                 histogram += 0 if y else h
             top = [sorted((x[2] for x in s), reverse=True)[:BEST] for _, s in found]
@@ -324,7 +334,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = segments_of(_texts(batch), m.table)
+            found = column_segments(batch.column("text"), m.table)
             p = [m.probability(m.evidence(n, s)) for n, s in found]
             hot = [[{"first": a, "end": b, "e_value": e} for a, b, e in m.passages(n, s, least)] for n, s in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array(hot, passage)], ["doc_id", "score", "predicted", "passages"])
@@ -347,7 +357,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = segments_of([(x or "").encode() for x in batch.column(k).to_pylist()], m.table)
+            found = column_segments(batch.column(k), m.table)
             yield batch.filter(pa.array([m.probability(m.evidence(n, s)) < 0.5 for n, s in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
