@@ -136,12 +136,16 @@ class Suffixes:
 
     def extension(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Length of the common extension of the suffixes at a and b, up to limit: a binary search over hashes."""
-        lo, hi = np.zeros(len(a), np.int64), limit.astype(np.int64)
-        while (open_ := lo < hi).any():
+        out = limit.astype(np.int64)
+        part = np.flatnonzero(self.hashes.of(a, a + out) != self.hashes.of(b, b + out))
+        a, b, hi = a[part], b[part], out[part] - 1
+        lo = np.zeros(len(part), np.int64)
+        while (lo < hi).any():
             mid = (lo + hi + 1) // 2
             same = self.hashes.of(a, a + mid) == self.hashes.of(b, b + mid)
-            lo, hi = np.where(open_ & same, mid, lo), np.where(open_ & ~same, mid - 1, hi)
-        return lo
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, np.maximum(mid - 1, lo))
+        out[part] = lo
+        return out
 
     def less(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Whether the suffix at a is less than that at b, within limit bytes."""
@@ -181,7 +185,7 @@ class Suffixes:
                 y = order[np.minimum(mid, len(order) - 1)]
                 lim = limit[x]
                 # Left elements go before equal ones of the right run, right elements after.
-                before = np.where(top, self.less(at[y], at[x], lim), ~self.less(at[x], at[y], lim))
+                before = self.less(at[np.where(top, y, x)], at[np.where(top, x, y)], lim) == top
                 lo, hi = np.where(open_ & before, mid + 1, lo), np.where(open_ & ~before, mid, hi)
             pair = begin[active] + (run // 2) * 2 * width
             place = pair + local % width + (lo - first)
@@ -191,7 +195,7 @@ class Suffixes:
             width *= 2
         return order
 
-    def classes(self, group: np.ndarray, at: np.ndarray, need: np.ndarray) -> np.ndarray:
+    def classes(self, group: np.ndarray, at: np.ndarray, need: np.ndarray, verify: bool) -> np.ndarray:
         """A class number for each suffix: equal for those of a group whose first `need` bytes (one value a group) are equal."""
         if not len(at):
             return np.zeros(0, np.int64)
@@ -199,8 +203,10 @@ class Suffixes:
         a, b = order[:-1], order[1:]
         near = group[a] == group[b]
         same = near.copy()
-        same[near] = self.extension(at[a[near]], at[b[near]], need[a[near]]) >= need[a[near]]
-        same[same] = self.verified(at[a[same]], at[b[same]], need[a[same]])
+        x, y, n = at[a[near]], at[b[near]], need[a[near]]
+        same[near] = self.hashes.of(x, x + n) == self.hashes.of(y, y + n)
+        if verify:
+            same[same] = self.verified(at[a[same]], at[b[same]], need[a[same]])
         out = np.empty(len(at), np.int64)
         out[order] = np.concatenate(([0], np.cumsum(~same)))
         return out
@@ -219,8 +225,12 @@ def matched(suffixes: Suffixes, group: np.ndarray, at: np.ndarray, l: np.ndarray
     A range of offsets is tried as a whole; what it leaves open is halved. Rows of one group stand together.
     """
     least, greatest = np.full(len(at), length), np.full(len(at), -1)
-    row, lo, hi = np.arange(len(at)), np.zeros(len(at), np.int64), np.full(len(at), length - length // GRAM_PART)
-    node, quiet = group.astype(np.int64), np.zeros(len(at), bool)
+    # The whole range is not tried: its windows share the anchor string, which is equal, and its reach is the context, which is not.
+    wide = length - length // GRAM_PART
+    half, n = wide // 2, len(at)
+    row, quiet = np.tile(np.arange(n), 2), np.zeros(2 * n, bool)
+    lo, hi = np.repeat([0, half + 1], n), np.repeat([half, wide], n)
+    node = np.concatenate((2 * group, 2 * group + 1)).astype(np.int64)
     while len(row):
         # Rows with a window in the range.
         ok = (l[row] >= lo) & (r[row] >= length - hi)
@@ -230,7 +240,7 @@ def matched(suffixes: Suffixes, group: np.ndarray, at: np.ndarray, l: np.ndarray
         order = np.argsort(node, kind="stable")
         row, lo, hi, node, quiet = (x[order] for x in (row, lo, hi, node, quiet))
         # What all windows of the range share begins at the last one's end of it.
-        shared = suffixes.classes(node, at[row] - lo, length - (hi - lo))
+        shared = suffixes.classes(node, at[row] - lo, length - (hi - lo), False)
         open_ = _several(shared, np.ones(len(row), bool))
         # A class without a row that still asks is done with.
         ask = np.bincount(shared, weights=~quiet, minlength=int(shared.max()) + 1)[shared] > 0
@@ -244,7 +254,7 @@ def matched(suffixes: Suffixes, group: np.ndarray, at: np.ndarray, l: np.ndarray
         reach = np.arange(len(row)) + int(shared.max()) + 1  # rows without the whole reach stay alone
         part = np.flatnonzero(whole)
         if len(part):
-            reach[part] = suffixes.classes(shared[part], at[row[part]] - hi[part], length + (hi - lo)[part])
+            reach[part] = suffixes.classes(shared[part], at[row[part]] - hi[part], length + (hi - lo)[part], True)
         done = _several(reach, whole)
         np.minimum.at(least, row[done], lo[done])
         np.maximum.at(greatest, row[done], hi[done])
