@@ -2,7 +2,8 @@
 
 The legal orders of turns are an automaton: an optional system turn first, then user and assistant in turn, the assistant last.
 A conversation is repaired by the cheapest mix of keeping a turn, giving it another role, merging it into the turn before it and
-inserting empty turns; Costs has the price of each.  Turns are cut into blocks.  A block's effect is a matrix of least
+inserting empty turns; Costs has the price of each; a known role is
+changed only where no merge or insertion helps.  Turns are cut into blocks.  A block's effect is a matrix of least
 costs between automaton states, and such matrices multiply (minimum of sums), so blocks of one long conversation are
 priced by different tasks, chained through their small matrices, and traced back by different tasks again.
 
@@ -36,7 +37,7 @@ ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assi
 
 @dataclass(frozen=True)
 class Costs:
-    relabel: int = 4
+    relabel: int = 10
     merge: int = 2
     insert: int = 3
 
