@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundwell.llm.runtime import cut
+from boundwell.llm.runtime import apart, cut
 
 
 class Forest:
@@ -42,6 +42,8 @@ class Forest:
 
 #: Nodes that a task's forest holds before its edges are handed on.
 LOCAL_NODES = 500_000
+#: Edges, counted, up to which one task's forest ends the work; more go on in star steps.
+LOCAL_EDGES = 100_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,14 +72,16 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     plain = edges.select(F.col(a).alias("hi"), F.col(b).alias("lo")).where("hi <> lo")
     now = cut(plain.mapInArrow(_contract, "hi long, lo long").distinct())
+    if now.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        return now.repartition(1).mapInArrow(_contract, "hi long, lo long").select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     state = None
     while True:
         both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("node"), F.least("hi", "m").alias("m"))
+        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select(apart("hi").alias("node"), F.least("hi", "m").alias("m"))
         # Large star: a node's larger neighbours go to the smallest of its neighbourhood.
         large = both.join(least.hint("shuffle_merge"), F.col("hi") == F.col("node")).where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         # Small star: a node's smaller neighbours, and the node, go to the smallest of them.
-        low = large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "node")
+        low = large.groupBy("hi").agg(F.min("lo").alias("m")).select(apart("hi").alias("node"), "m")
         small = large.join(low.hint("shuffle_merge"), F.col("hi") == F.col("node")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = cut(small.unionByName(low.select(F.col("node").alias("hi"), F.col("m").alias("lo"))).distinct())
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()

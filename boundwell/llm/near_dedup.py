@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from boundwell.llm.bytehash import WORD_BYTE, PrefixHash, U, mix, packed, runs, slices
 from boundwell.llm.components import Forest, components
-from boundwell.llm.runtime import cut
+from boundwell.llm.runtime import apart, cut, small_batches
 
 WORDS = 5
 #: Least similarity, in percent.
@@ -269,13 +269,14 @@ def _link_exactly(percent: int):
 
 def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     rows = cut(signatures(docs, words, id_col, text_col))
     surrogate = F.lit(NO_ID) + F.pmod(F.col("d1"), F.lit(1 << 61))
     numbered = rows.withColumn("node", F.coalesce("doc_id", surrogate))
     # One node for each distinct set.
     classes = cut(numbered.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("node", "n_shingles", "bands", "sketch")).alias("x")).select("d1", "d2", "x.*"))
     keys = classes.where(F.col("node") < NO_ID).select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.ceil(F.col("n") / BUCKET_BLOCK).alias("blocks"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(apart("key").alias("_key"), F.ceil(F.col("n") / BUCKET_BLOCK).alias("blocks"))
     met = keys.join(shared.hint("shuffle_merge"), F.col("key") == F.col("_key")).select("key", "node", "blocks")
     sketched = blocked(met, "key", "node", "blocks").join(classes.select(F.col("node").alias("_node"), "sketch").hint("shuffle_merge"), F.col("node") == F.col("_node")).select("key", "i", "j", "node", "sketch")
     forest = sketched.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_bucket_forest, "u long, v long")
@@ -292,7 +293,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
 def _confirmed(docs: DataFrame, classes: DataFrame, hoods: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Edges of the exact links inside neighbourhoods (node, hood)."""
     members = hoods.join(classes.select(F.col("node").alias("_node"), "n_shingles", "d1", "d2").hint("shuffle_merge"), F.col("node") == F.col("_node")).drop("_node")
-    sizes = members.groupBy("hood").agg(F.ceil(F.sum("n_shingles") / SET_BLOCK).alias("blocks")).withColumnRenamed("hood", "_hood")
+    sizes = members.groupBy("hood").agg(F.ceil(F.sum("n_shingles") / SET_BLOCK).alias("blocks")).select(apart("hood").alias("_hood"), "blocks")
     sized = cut(members.join(sizes.hint("shuffle_merge"), F.col("hood") == F.col("_hood")).drop("_hood"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
@@ -36,3 +37,28 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def apart(key: str) -> Column:
+    """A long key as an expression of its own.
+
+    A table that is grouped by a key and joined back to its rows by it would share their exchange, and adaptive execution can't
+    split a hot key there. Joined by this, it gets an exchange of its own, and the hot key's rows are split.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0))
+
+
+#: Rows of an Arrow batch of texts, where the session has Spark's own default of 10,000.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts of some kilobytes make Arrow batches of Spark's default size large, in the JVM and in Python workers; a session that names a size keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that have been cut: it does so once the driver's JVM has collected their plans."""
+    spark.sparkContext._jvm.System.gc()
