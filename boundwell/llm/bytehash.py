@@ -81,6 +81,7 @@ def slices(column: pa.Array, limit: int = BATCH) -> Iterator[tuple[int, list[byt
         size += b - a + 1
     if texts:
         yield first, texts
+    pa.default_memory_pool().release_unused()
 
 
 def packed(texts: Sequence[bytes], limit: int = BATCH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boundwell.llm.bpe import _batches, codec
-from boundwell.llm.runtime import cut
+from boundwell.llm.runtime import cut, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -136,6 +136,7 @@ def slots(bins: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
+    small_batches(docs.sparkSession)
     rows = cut(pieces(docs, path, capacity, end_id, id_col, text_col, with_ids))
     spark = docs.sparkSession
     by_part = rows.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boundwell.llm.bytehash import PrefixHash, mix, packed, runs, slices
-from boundwell.llm.runtime import cut
+from boundwell.llm.runtime import cut, small_batches
 
 BITS = 20
 BLOCK = 1 << 12
@@ -290,6 +290,7 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, bound: int) -> DataF
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = LABEL_SAMPLE) -> Model:
     """labels: id_col and label_col (0 or 1)."""
+    small_batches(docs.sparkSession)
     # At most `sample` rows of two numbers: the only thing that is broadcast here.
     picked = F.broadcast(cut(_sample(labels, id_col, label_col, sample)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
