@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,4 +62,5 @@ def small_batches(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that have been cut: it does so once the driver's JVM has collected their plans."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()

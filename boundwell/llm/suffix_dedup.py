@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from boundwell.llm.bytehash import PrefixHash, U, mix, packed, slices
 from boundwell.llm.near_dedup import _bounds, _groups
-from boundwell.llm.runtime import cut, fresh
+from boundwell.llm.runtime import apart, cut, fresh, release, small_batches
 
 LENGTH = 200
 #: Bytes of an anchor string, as a part of a window.
@@ -323,15 +323,18 @@ def _window_hashes(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """key, spans (sorted, disjoint and not touching) of every text with repeated bytes. docs: key (long, one for each distinct row), text."""
+    small_batches(docs.sparkSession)
     found = anchors(docs, length)
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("_h"))
+    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(apart("h").alias("_h"))
     again = cut(found.join(often.hint("shuffle_merge"), F.col("h") == F.col("_h")).drop("_h"))
+    release(docs.sparkSession)
     classes = again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos", "l")).alias("x"))
     twins = classes.where("n > 1").select(F.col("h").alias("_h"), F.col("c").alias("_c"))
     whole = again.join(twins.hint("shuffle_merge"), (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c"))).select("key", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"))
     groups = classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("n").alias("fewest")).where("classes > 1 and fewest = 1").select(F.col("h").alias("_h"), "classes")
     mixed = classes.join(groups.hint("shuffle_merge"), F.col("h") == F.col("_h")).select("h", "n", "classes", "x.*")
     contexts = cut(_contexts(docs, mixed, length))
+    release(docs.sparkSession)
     few = contexts.where(F.col("classes") <= GROUP).repartition("h").sortWithinPartitions("h", "key", "pos")
     sorted_ = few.select("h", "key", "pos", "l", "alone", "context").mapInArrow(_sort_contexts(length), SPAN)
     windows = contexts.where(F.col("classes") > GROUP).select("h", "key", "pos", "l", "context").mapInArrow(_window_hashes(length), "h long, d int, w1 long, w2 long, key long, start long")
@@ -397,6 +400,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
     keyed = _keyed(docs, id_col, text_col)
     spans = cut(repeated_spans(keyed, length)).withColumnRenamed("key", "_key")
+    release(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
     joined = rows.join(spans.hint("shuffle_merge"), F.col("key") == F.col("_key"), "left").select("doc_id", "text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -422,6 +426,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     A character of which a part is removed goes with it. Documents stay, even with an empty text.
     """
     spans = cut(repeated_spans(_keyed(docs, id_col, text_col), length))
+    release(docs.sparkSession)
     key, found = fresh(docs, "key"), fresh(docs, "spans")
     full = docs.withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
     removed = spans.select(F.col("key").alias(fresh(full, "span_key")), F.col("spans").alias(found))
