@@ -83,6 +83,17 @@ def q_concat_streams(spark, sf_dir):
     return stream.concat([(a, 500), (b, 300)])
 
 
+def _length(values: DataFrame) -> int:
+    """Values of a stream, by its last place."""
+    return values.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
+
+
+def q_concat_whole(spark, sf_dir):
+    """Both streams of concat_streams without a limit, with lengths taken from the data."""
+    both = [flat(spark, sf_dir), stream.flat_column(_table(spark, sf_dir, "events"), "event_id", "value")]
+    return stream.concat([(s, _length(s)) for s in both])
+
+
 def q_widen(spark, sf_dir):
     return stream.flat_column(_table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice")
 
@@ -294,9 +305,19 @@ def q_vq_error(spark, sf_dir):
     return near.groupBy("w").agg(F.round(F.max(worst), 9).alias("max_error"))
 
 
+def _manifest(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.array(F.lit(DIM)).alias("shape"), (F.col("vec_id") * DIM).alias("offset"), F.lit(DIM).alias("numel"))
+
+
 def q_restore(spark, sf_dir):
-    manifest = _table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.array(F.lit(DIM)).alias("shape"), (F.col("vec_id") * DIM).alias("offset"), F.lit(DIM).alias("numel"))
-    whole = stream.restore(flat(spark, sf_dir).where("pos < 6400 + 10"), manifest)
+    whole = stream.restore(flat(spark, sf_dir).where("pos < 6400 + 10"), _manifest(spark, sf_dir))
+    return whole.select("name", "offset", F.posexplode("values").alias("place", "x"))
+
+
+def q_restore_whole(spark, sf_dir):
+    """Every tensor of the stream but the last, which lacks the stream's last value and so is left out."""
+    values = flat(spark, sf_dir)
+    whole = stream.restore(values.where(F.col("pos") < _length(values) - 1), _manifest(spark, sf_dir))
     return whole.select("name", "offset", F.posexplode("values").alias("place", "x"))
 
 
@@ -438,6 +459,7 @@ SQL: dict[str, str] = {
     "tail_window": _with(P) + "SELECT arg_max(n, w) AS tail, count(*) AS windows FROM (SELECT w, count(*) AS n FROM r GROUP BY w)",
     "limit_prefix": _with(_STREAM) + "SELECT pos, x FROM flat WHERE pos < 1000",
     "concat_streams": _with(_STREAM) + "SELECT pos, x FROM flat WHERE pos < 500 UNION ALL SELECT event_id + 500, value::FLOAT FROM events WHERE event_id < 300",
+    "concat_whole": _with(_STREAM) + "SELECT pos, x FROM flat UNION ALL SELECT event_id + (SELECT max(pos) + 1 FROM flat), value::FLOAT FROM events WHERE value IS NOT NULL",
     "widen": "SELECT o_orderkey AS pos, o_totalprice::FLOAT AS x FROM orders",
     "widen_int": "SELECT p_partkey AS pos, p_size::FLOAT AS x FROM part",
     "log_ends": _with(P, _params(EB)) + "SELECT w, n, umin::FLOAT AS umin, umax::FLOAT AS umax FROM p",
@@ -490,6 +512,7 @@ SQL: dict[str, str] = {
     "strided_sample": _with(P) + "SELECT w, i, x FROM r WHERE i % 8 = 0",
     "vq_error": _with(P, _PAIRS, _grid(GRID), _near("a", "cents")) + "SELECT w, round(max(greatest(abs(c0 - v0::DOUBLE), abs(c1 - v1::DOUBLE))), 9) AS max_error FROM a GROUP BY w",
     "restore": _with(_STREAM) + f"SELECT 'v' || (pos // {DIM})::VARCHAR AS name, (pos // {DIM}) * {DIM} AS offset, (pos % {DIM})::INT AS place, x FROM flat WHERE pos < 6400",
+    "restore_whole": _with(_STREAM) + f"SELECT 'v' || (pos // {DIM})::VARCHAR AS name, (pos // {DIM}) * {DIM} AS offset, (pos % {DIM})::INT AS place, x FROM flat WHERE pos // {DIM} < (SELECT max(pos) // {DIM} FROM flat)",
     "run_stats": _with(Z, _encoded(EB), f"ws AS (SELECT w, n_values, occupied, n_outliers, max_error, occupied * 4 AS cb, n_values * (CASE WHEN occupied <= 256 THEN 1 WHEN occupied <= 65536 THEN 2 ELSE 4 END) AS lb, (n_values + 7) // 8 + n_outliers * 8 AS ob FROM (SELECT w, count(*) AS n_values, count(DISTINCT cell) AS occupied, count(*) FILTER (esc) AS n_outliers, max(rel) AS max_error FROM e GROUP BY w))")
     + "SELECT count(*) AS windows, sum(n_values)::BIGINT AS n_values, (4 * sum(n_values))::BIGINT AS raw_bytes, sum(cb + lb + ob)::BIGINT AS stored_bytes, sum(cb)::BIGINT AS codebook_bytes, sum(lb)::BIGINT AS label_bytes, 0::BIGINT AS code_bytes, sum(ob)::BIGINT AS outlier_bytes, sum(n_outliers)::BIGINT AS n_outliers, round(max(max_error), 9) AS max_error, min(occupied) AS min_occupied, max(occupied) AS max_occupied, "
     + "round((4 * sum(n_values))::DOUBLE / sum(cb + lb + ob), 9) AS ratio, round(8 * sum(cb + lb + ob)::DOUBLE / sum(n_values), 9) AS bits_per_value FROM ws",
