@@ -75,7 +75,7 @@ def unpack_window(chunk: dict, exact_float_log: bool = False) -> np.ndarray:
     return out
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """One table for each window of rows sorted by w."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -96,7 +96,7 @@ def pack_clusters(encoded: DataFrame, level: int = 3) -> DataFrame:
     """CHUNK rows of cluster-mode windows (w, i, x, cell, c, esc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _windows(batches):
+        for table in by_window(batches):
             cell, x, c, esc = (table.column(n).to_numpy() for n in ("cell", "x", "c", "esc"))
             _, first, labels = np.unique(cell, return_index=True, return_inverse=True)
             at = np.flatnonzero(esc)
@@ -111,7 +111,7 @@ def pack_residuals(quantized: DataFrame, relative: bool, mode: str = "residual",
     """CHUNK rows of windows (w, i, x, pred, step, z, esc) whose prediction is one of few values; tuples of size 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _windows(batches):
+        for table in by_window(batches):
             x, pred, z, esc = (table.column(n).to_numpy() for n in ("x", "pred", "z", "esc"))
             book, labels = np.unique(pred, return_inverse=True)
             at = np.flatnonzero(esc)
@@ -151,7 +151,7 @@ def lossless(stream: DataFrame, level: int = 3, rows_per_block: int = 1 << 20) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=level).compress
-        for table in _windows(batches):
+        for table in by_window(batches):
             x = table.column("x").to_numpy().astype("<f4")
             split = x.view(np.uint8).reshape(-1, 4)
             planes = sum(len(squeeze(np.ascontiguousarray(split[:, p]).tobytes())) for p in range(4))

@@ -15,17 +15,14 @@ from boundwell.operators.stream import tuples, windowed
 
 
 def predicted(rows: DataFrame, cfg: Config) -> DataFrame:
-    """rows (w, i, x) with pred, the nearest of the run's centroids lane by lane, in the domain of the mode.
+    """rows (w, i, x) with pred, the nearest of its window's centroids lane by lane, in the domain of the mode.
 
     Values that can't be predicted (zeros in the log domain, non-finite ones) take part as 0, so that they don't pull centroids.
     """
     log = cfg.mode == "residual" and cfg.error_mode == "relative"
     value = S.log_magnitude(F.col("x")) if log else F.when(S.finite(F.col("x")), F.col("x").cast("double")).otherwise(F.lit(0.0))
     wide = tuples(rows.withColumn("u", value), cfg.tuple_size, "u")
-    centroids, _, _ = kmeans.best_clusters(wide, cfg)
-    near = kmeans.assign(wide, centroids)
-    each = near.select("w", "t", F.posexplode(F.array(*(F.col(f"c{j}").cast("float") for j in range(cfg.tuple_size)))).alias("j", "pred"))
-    return rows.join(each.select("w", (F.col("t") * cfg.tuple_size + F.col("j")).alias("i"), "pred"), ["w", "i"])
+    return rows.join(kmeans.predict_windows(wide, cfg), ["w", "i"])
 
 
 def compress(stream: DataFrame, cfg: Config) -> DataFrame:
