@@ -10,7 +10,8 @@ logistic curve over the training documents' tail probabilities gives the score.
 evidence, so of training documents that share the least hash of their word triples one counts.
 
 Fixed-size state: the feature table has 2**BITS entries whatever the corpus; at most LABEL_SAMPLE labelled rows train (a hash
-of the id picks them if there are more).  Only counts, never rows, of the corpus are gathered.
+of the id picks them if there are more).  Only counts, never rows, of the corpus are gathered, and of the rows that train their
+segments' scores.
 
 Defined results: null and empty texts score as a text without tokens; null labels don't train; of repeated labels of an id the
 highest counts; without labels of both kinds every score is 0 (predicted 0); repeated rows each get a row; an empty table
@@ -45,8 +46,6 @@ MIN_SIGNIFICANCE = 4.5
 MIN_ODDS = 1.5
 DRIFT = 0.5
 CLIP = 6.0
-#: Segments that the sum statistic takes together, at most.
-BEST = 8
 
 TOKEN_BYTE = np.zeros(256, bool)
 TOKEN_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), 0x27, *range(0x80, 0x100)]] = True
@@ -218,7 +217,7 @@ class Model:
         """-log of the least chance, over r, that a clean text's r best segments are as good together; 0 without segments."""
         base = math.log(self.k * max(n, 1))
         best = total = 0.0
-        for r, s in enumerate(sorted((x[2] for x in segments), reverse=True)[:BEST], 1):
+        for r, s in enumerate(sorted((x[2] for x in segments), reverse=True), 1):
             total += self.decay * s - base
             if r == 1:
                 best = -math.log(max(-math.expm1(-math.exp(min(50.0, -total))), 1e-300)) if total < 600 else total
@@ -248,8 +247,8 @@ def _moment_root(histogram: np.ndarray) -> float:
     return max(0.05, lo)
 
 
-def fit(table: np.ndarray, rows: list[tuple[int, int, list[float]]], histogram: np.ndarray) -> Model:
-    """rows: (toxic, tokens, best segments' scores) of the training documents; histogram: the clean ones' token scores."""
+def fit(table: np.ndarray, rows: list[tuple[int, int, np.ndarray]], histogram: np.ndarray) -> Model:
+    """rows: (toxic, tokens, its segments' scores) of the training documents; histogram: the clean ones' token scores."""
     model = Model(table)
     if not any(r[0] for r in rows) or all(r[0] for r in rows):
         return model
@@ -305,22 +304,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = log_odds(counts)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         histogram = np.zeros(141, np.int64)
-        names = ["toxic", "n", "best", "histogram"]
+        names = ["toxic", "n", "scores", "histogram"]
         for batch in batches:
             label = batch.column("toxic").to_pylist()
             found, each = column_segments(batch.column("text"), shared.value, with_histogram=True)
             for y, h in zip(label, each, strict=True):
                 histogram += 0 if y else h
-            top = [sorted((x[2] for x in s), reverse=True)[:BEST] for _, s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array(top, pa.list_(pa.float64())), pa.nulls(len(found), pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float64())), pa.array([histogram.tobytes()], pa.binary())], names)
+            scores = [np.array([x[2] for x in s], "<f8").tobytes() for _, s in found]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array(scores, pa.binary()), pa.nulls(len(found), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([histogram.tobytes()], pa.binary())], names)
 
     rows, histogram = [], np.zeros(141, np.int64)
-    for y, n, top, h in marked.where("toxic is not null").mapInArrow(best, "toxic int, n long, best array<double>, histogram binary").collect():
+    for y, n, scores, h in marked.where("toxic is not null").mapInArrow(segments, "toxic int, n long, scores binary, histogram binary").collect():
         if h is None:
-            rows.append((y, n, top))
+            rows.append((y, n, np.frombuffer(scores, "<f8")))
         else:
             histogram += np.frombuffer(h, np.int64)
     return fit(table, rows, histogram)
