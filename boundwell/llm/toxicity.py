@@ -7,7 +7,7 @@ maximal-scoring segment of a document.  Under the null hypothesis segments of a
 law: a score s has K n exp(-lambda s) chance equals, and the r best together a known tail (Karlin and Altschul's sum
 statistic); lambda solves the moment equation over the clean documents' token scores, K is set from their segments, and a
 logistic curve over the training documents' tail probabilities gives the score.  Copies would count as independent
-evidence, so of training documents that share the least hash of their word triples one counts.
+evidence, so of training documents of equal text and label one counts.
 
 Fixed-size state: the feature table has 2**BITS entries whatever the corpus; at most LABEL_SAMPLE labelled rows train (a hash
 of the id picks them if there are more).  Only counts, never rows, of the corpus are gathered, and of the rows that train their
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundwell.llm.bytehash import PrefixHash, mix, packed, runs, slices
+from boundwell.llm.bytehash import PrefixHash, packed, runs, slices
 from boundwell.llm.runtime import cut, small_batches
 
 BITS = 20
@@ -77,27 +77,6 @@ def tokens(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[np.ndarra
         yield first, doc, features, np.bincount(doc, minlength=len(starts))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least hash of each text's triples of words (of its words, where it has fewer)."""
-    for batch in batches:
-        out = np.zeros(batch.num_rows, np.int64)
-        for first, doc, features, sizes in column_tokens(batch.column("text")):
-            h = mix(features[0].astype(np.uint64))
-            three = h.copy()
-            if len(h) > 2:
-                inside = doc[2:] == doc[:-2]
-                three[:-2] = np.where(inside, mix(h[:-2] + mix(h[1:-1] + mix(h[2:]))), np.uint64(2**64 - 1))
-                three[-2:] = np.uint64(2**64 - 1)
-            begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-            some = np.flatnonzero(sizes)
-            if len(some):
-                least = np.minimum.reduceat(three, begin[some])
-                short = sizes[some] < 3
-                least = np.where(short, np.add.reduceat(h, begin[some]), least)
-                out[first + some] = least.view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("toxic"), pa.array(out)], ["label_id", "toxic", "signature"])
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, toxic or null) to blocks of feature counts: all documents, toxic, clean."""
     totals = np.zeros((3, 1 << BITS), np.int64)
@@ -293,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most `sample` rows of two numbers: the only thing that is broadcast here.
     picked = F.broadcast(cut(_sample(labels, id_col, label_col, sample)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = texts.join(picked, F.col("id") == F.col("label_id")).mapInArrow(_signatures, "label_id long, toxic int, signature long")
+    signed = texts.join(picked, F.col("id") == F.col("label_id")).select("label_id", "toxic", F.sha2(F.coalesce("text", F.lit("")), 256).alias("signature"))
     unlike = signed.groupBy("signature", "toxic").agg(F.min("label_id").alias("label_id")).select("label_id", "toxic").distinct()
     picked = F.broadcast(cut(unlike))
     marked = texts.join(picked, F.col("id") == F.col("label_id"), "left").select("text", "toxic")

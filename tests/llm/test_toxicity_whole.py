@@ -32,3 +32,15 @@ def test_every_segment_trains(spark, fitted):
     free = next(i for i in range(5000, 5100) if not spark.range(i, i + 1).select(T.held_out(T.F.col("id"))).first()[0])
     T.train(spark.createDataFrame([*docs, (free, long)], DOC), spark.createDataFrame([*labels, (free, 1)], "doc_id long, toxic int"))
     assert max(len(scores) for _, _, scores in fitted) >= 40
+
+
+def test_texts_that_share_a_passage_all_train(spark, fitted):
+    docs, labels = corpus(8, 300)
+    shared = brute.prose(random.Random(9), 80)
+    docs = [(i, f"{text} {shared}") for i, text in docs]
+    copies = [(10_000 + i, text) for i, text in docs]
+    marks = [*labels, *((10_000 + i, y) for i, y in labels)]
+    T.train(spark.createDataFrame([*docs, *copies], DOC), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    text = dict([*docs, *copies])
+    ids = spark.createDataFrame(marks, "doc_id long, toxic int").where(~T.held_out(T.F.col("doc_id"))).collect()
+    assert len(fitted) == len({(text[r.doc_id], r.toxic) for r in ids})
