@@ -5,7 +5,7 @@ Digests are inserted into a cuckoo filter; a filter hit is verified against the
 two candidate buckets point to, and an insertion that finds no room after MAX_KICKS evictions doubles the
 filter, which is refilled from the stored keys.  The index runs twice: on the map side it folds the copies that
 one task sees into one entry, so that a digest of any frequency sends at most a row per task, and after the shuffle each
-shard of the digest space has the final index.
+shard of the digest space has the final index.  Both hand an index on when it is full, so that a task's memory has a bound.
 
 Defined results: null text counts as empty; empty texts are equal to each other; of equal texts the one with the most code
 points stays, then the smallest id (null ids last), then, for repeated rows, the first row; an empty table gives an empty
@@ -25,13 +25,17 @@ from boundwell.llm.runtime import cut, fresh
 
 SLOTS = 4
 MAX_KICKS = 200
-#: Entries that a map task folds before it hands them on.
-MAP_SIDE_ENTRIES = 200_000
+#: Entries that a task's index holds before it hands them on.
+TASK_ENTRIES = 200_000
 WHITE = " \t\n\x0b\x0c\r"
-NO_ID = (1 << 63) - 1
 ENTRY = "digest binary, n long, best_len long, best_id long, best_row long"
 
 
+def _rank(length: int, doc_id: int | None, row: int) -> tuple:
+    """Order of the rows of one digest, the best first."""
+    return -length, doc_id is None, doc_id or 0, row
+
+
 class CuckooIndex:
     """Live digests with their number of copies and their best row.
 
@@ -41,7 +45,8 @@ class CuckooIndex:
 
     def __init__(self, capacity: int = 1024) -> None:
         self.digests: list[bytes | None] = []
-        self.count, self.best_len, self.best_id, self.best_row = (array("q") for _ in range(4))
+        self.count, self.best_len, self.best_row = (array("q") for _ in range(3))
+        self.best_id: list[int | None] = []
         self.free: list[int] = []
         self.resizes = 0
         self._allot(max(8, 1 << (capacity * 5 // 4 // SLOTS).bit_length()))
@@ -75,13 +80,13 @@ class CuckooIndex:
     def __contains__(self, digest: bytes) -> bool:
         return self.find(digest) >= 0
 
-    def insert(self, digest: bytes, n: int = 1, length: int = 0, doc_id: int = 0, row: int = 0) -> bool:
+    def insert(self, digest: bytes, n: int = 1, length: int = 0, doc_id: int | None = 0, row: int = 0) -> bool:
         """Add n copies, the best of which is (length, doc_id, row); True if the digest was not live."""
         slot = self.find(digest)
         if slot >= 0:
             e = self.entry[slot]
             self.count[e] += n
-            if (-length, doc_id, row) < (-self.best_len[e], self.best_id[e], self.best_row[e]):
+            if _rank(length, doc_id, row) < _rank(self.best_len[e], self.best_id[e], self.best_row[e]):
                 self.best_len[e], self.best_id[e], self.best_row[e] = length, doc_id, row
             return False
         if self.free:
@@ -145,21 +150,23 @@ class CuckooIndex:
         )
 
 
-def _fold(limit: int | None):
-    """mapInArrow function: run all rows of a task through an index; hand it on whenever it has limit entries."""
+def _fold(limit: int, ordered: bool):
+    """mapInArrow function: run a task's rows through an index, and hand it on whenever it has limit entries.
+
+    Where all rows of a digest must meet, they come in order of their first two bytes, and an index is handed on between two of these.
+    """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = CuckooIndex()
+        index, last = CuckooIndex(), b""
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if len(index) >= limit and not (ordered and row[0][:2] == last):
+                    yield index.rows()
+                    index = CuckooIndex()
                 index.insert(*row)
-            if limit and len(index) >= limit:
-                yield index.rows()
-                index = CuckooIndex()
+                last = row[0][:2]
         if len(index):
-            rows = index.rows()
-            for start in range(0, rows.num_rows, 50_000):
-                yield rows.slice(start, 50_000)
+            yield index.rows()
 
     return fold
 
@@ -177,7 +184,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         text_digest(text).alias("digest"),
         F.lit(1).cast("long").alias("n"),
         F.length(text).cast("long").alias("best_len"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("best_id"),
+        F.col(id_col).cast("long").alias("best_id"),
         F.monotonically_increasing_id().alias("best_row"),
     )
 
@@ -185,7 +192,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def build_index(entries: DataFrame) -> DataFrame:
     """The live index, sharded by digest: ENTRY rows, one for each digest. entries has ENTRY's columns and any number of rows for a digest."""
     cols = entries.select("digest", "n", "best_len", "best_id", "best_row")
-    return cols.mapInArrow(_fold(MAP_SIDE_ENTRIES), ENTRY).repartition("digest").mapInArrow(_fold(None), ENTRY)
+    return _sharded(cols.mapInArrow(_fold(TASK_ENTRIES, False), ENTRY)).mapInArrow(_fold(TASK_ENTRIES, True), ENTRY)
+
+
+def _sharded(entries: DataFrame) -> DataFrame:
+    """Dealt by digest and, within a task, in order of its first two bytes, so that a task's memory doesn't grow with its shard."""
+    return entries.repartition("digest").sortWithinPartitions(F.substring("digest", 1, 2))
 
 
 def insert_into(index: DataFrame, entries: DataFrame) -> DataFrame:
@@ -200,20 +212,28 @@ def delete_from(index: DataFrame, gone: DataFrame) -> DataFrame:
     """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live, away = CuckooIndex(), []
+        live, away, last = CuckooIndex(), [], b""
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for digest, n in away:
+                live.delete(digest, n)
+            if len(live):
+                yield live.rows()
+
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if len(live) + len(away) >= TASK_ENTRIES and row[0][:2] != last:
+                    yield from handed_on()
+                    live, away = CuckooIndex(), []
                 if row[1] >= 0:
                     live.insert(*row)
                 else:
                     away.append((row[0], -row[1]))
-        for digest, n in away:
-            live.delete(digest, n)
-        if len(live):
-            yield live.rows()
+                last = row[0][:2]
+        yield from handed_on()
 
     less = gone.groupBy("digest").agg((-F.sum("n")).alias("n")).select("digest", "n", *(F.lit(0).cast("long").alias(c) for c in ("best_len", "best_id", "best_row")))
-    return index.unionByName(less).repartition("digest").mapInArrow(take, ENTRY)
+    return _sharded(index.unionByName(less)).mapInArrow(take, ENTRY)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,7 +246,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = build_index(rows).select(F.col("digest").alias("_digest"), F.col("n").alias("group_size"), F.col("best_id").alias("_id"), F.col("best_row").alias("_row"))
     return rows.join(groups.hint("shuffle_merge"), F.col("digest") == F.col("_digest")).select(
         "doc_id",
-        F.when(F.col("_id") != NO_ID, F.col("_id")).alias("keep_id"),
+        F.col("_id").alias("keep_id"),
         "group_size",
         (F.col("best_row") == F.col("_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
@@ -234,11 +254,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that exact_dedup keeps, with all their columns; of repeated rows one stays."""
-    digest, length = fresh(docs, "digest"), fresh(docs, "length")
-    rows = cut(digests(docs, id_col, text_col))
-    stays = build_index(rows).select(F.col("digest").alias("_digest"), F.col("best_id").alias("_id"), F.col("best_len").alias("_len"))
+    """The documents that exact_dedup keeps, with all their columns; of repeated rows one stays.
+
+    The texts are moved once: a keeper is looked up by its digest, length and id, and rows that share these are told apart where
+    they have met. A group's other copies have other ids or lengths, so that they are dealt to many tasks.
+    """
+    digest, length, named = fresh(docs, "digest"), fresh(docs, "length"), fresh(docs, "named")
+    id_text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    stays = build_index(cut(digests(docs, id_col, text_col))).select(F.col("digest").alias("_digest"), id_text(F.col("best_id")).alias("_id"), F.col("best_len").alias("_len"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    full = docs.withColumns({digest: text_digest(text), length: F.length(text).cast("long")})
-    same = (full[digest] == stays["_digest"]) & (F.coalesce(full[id_col].cast("long"), F.lit(NO_ID)) == stays["_id"]) & (full[length] == stays["_len"])
-    return full.join(stays, same, "left_semi").dropDuplicates([digest]).select(docs.columns)
+    full = docs.withColumns({digest: text_digest(text), length: F.length(text).cast("long"), named: id_text(F.col(id_col).cast("long"))})
+    same = (full[digest] == stays["_digest"]) & (full[named] == stays["_id"]) & (full[length] == stays["_len"])
+    return full.join(stays.hint("shuffle_merge"), same, "left_semi").dropDuplicates([digest, named, length]).select(docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +13,43 @@ from pyspark.sql import functions as F
 def use_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the one the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a local temporary folder is set.
+    Where that setting is absent a local master (tests, a laptop) gets a temporary folder; a cluster must name one.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="boundwell-checkpoint-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="boundwell-checkpoint-"))
-    return named or context.getCheckpointDir()
+        context.setCheckpointDir(named)
+    return named
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder."""
+    return f"{use_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4()}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files, so that a lost executor costs no rework."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a Parquet table in the shared folder and go on from its files, so that a lost executor costs no rework and later steps read only their columns."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing unfinished reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.cut_path)
 
 
 def width(spark: SparkSession) -> int:
@@ -49,6 +74,32 @@ def apart(key: str) -> Column:
     return F.col(key).bitwiseXOR(F.lit(0))
 
 
+#: Bits of a sieve, as a power of two: 2**SIEVE / 64 words of 8 bytes at most, whatever the number of keys.
+SIEVE = 26
+
+
+def _bit(key: str) -> tuple[Column, Column]:
+    """A key's word in a sieve, and its bit there."""
+    at = f"pmod(xxhash64(`{key}`), {1 << SIEVE}L)"
+    return F.expr(f"shiftright({at}, 6)"), F.expr(f"shiftleft(1L, cast({at} & 63 AS INT))")
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of a column's hashes, as words (_word, _bits).
+
+    Its size has a bound that doesn't depend on the keys, so it can be broadcast: 2**20 rows. A full one lets everything pass,
+    which costs a shuffle and no row.
+    """
+    word, bit = _bit(key)
+    return keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def sifted(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """The rows whose key may be in the sieve: all that are, and few others."""
+    word, bit = _bit(key)
+    return rows.join(F.broadcast(words), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0)).select(*rows.columns)
+
+
 #: Rows of an Arrow batch of texts, where the session has Spark's own default of 10,000.
 TEXT_ROWS = 1000
 

@@ -63,3 +63,28 @@ def test_index_tables_take_insertions_and_deletions(spark):
     assert sorted(r.n for r in more.collect()) == [1, 4, 4, 4, 4, 5]
     gone = E.digests(spark.createDataFrame([(0, "t1")] * 4 + [(0, "t2"), (0, "never")], DOC)).select("digest", "n")
     assert sorted(r.n for r in E.delete_from(more, gone).collect()) == [1, 3, 4, 4, 5]
+
+
+def test_all_64_bit_ids(spark):
+    top = (1 << 63) - 1
+    docs = spark.createDataFrame([(top, "a"), (None, "a"), (-top - 1, "b"), (top, "b"), (top, "alone"), (None, "b")], DOC)
+    got = E.exact_dedup(docs).collect()
+    assert sorted((r.keep_id, r.doc_id, r.kept) for r in got if r.doc_id is not None) == [(-top - 1, -top - 1, True), (-top - 1, top, False), (top, top, True), (top, top, True)]
+    assert not any(r.kept for r in got if r.doc_id is None)
+    assert sorted((r.doc_id, r.text) for r in E.drop_copies(docs).collect()) == [(-top - 1, "b"), (top, "a"), (top, "alone")]
+
+
+def test_a_shard_is_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(E, "TASK_ENTRIES", 7)
+    docs = spark.createDataFrame([(i, f"t{i % 400}") for i in range(1200)], DOC)
+    got = E.exact_dedup(docs).collect()
+    assert {(r.doc_id % 400, r.keep_id, r.group_size) for r in got} == {(i, i, 3) for i in range(400)}
+    index = E.build_index(E.digests(docs))
+    gone = E.digests(docs.where("doc_id < 800")).groupBy("digest").agg(E.F.sum("n").alias("n"))
+    assert [r.n for r in E.delete_from(index, gone).collect()] == [1] * 400
+
+
+def test_texts_move_once_to_drop_copies(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a")], DOC)
+    plan = E.drop_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line and "digest" in line and "named" in line for line in plan.splitlines()) == 1
