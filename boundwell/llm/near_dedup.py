@@ -11,9 +11,14 @@ Documents with equal sets are one node from the start, so a group of copies of a
 neighbourhoods beyond a size that one task holds are cut into blocks, and each two blocks are a task of their own: nothing is capped.
 A link of similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7, and is estimated below MIN_ESTIMATE with less.
 
-Defined results: null and empty texts have the empty set, n_shingles 0 and are linked with nothing; rows of equal id are one
-node; rows without an id join the documents of equal set only, and have component_id null (and are kept) where none of
-these has an id; an empty table gives an empty result; other columns are not read.
+Nodes are numbers of distinct sets, apart from the ids, so that every 64-bit id is one and rows without an id are searched like
+all others.  A row's text is found again by its mark, a digest of id and text.  Only texts of neighbourhoods are moved: a bitmap of
+bounded size, made of their marks, is broadcast and lets few others pass.
+
+Defined results: null and empty texts have the empty set, n_shingles 0 and are linked with nothing; rows that share an id are rows of
+their own (where the id is its component's smallest, all of them are kept); component_id is null where no row of the component has an
+id, and the first of these rows is kept; an empty table gives an empty result; other columns are not read. drop_near_copies leaves one row of each
+component, the one of smallest id (nulls last) and, of rows that share it, the first; and all rows of empty set.
 """
 
 from __future__ import annotations
@@ -22,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boundwell.llm.bytehash import WORD_BYTE, PrefixHash, U, mix, packed, runs, slices
 from boundwell.llm.components import Forest, components
-from boundwell.llm.runtime import apart, cut, small_batches
+from boundwell.llm.exact_dedup import WHITE
+from boundwell.llm.runtime import apart, cut, fresh, sieve, sifted, small_batches
 
 WORDS = 5
 #: Least similarity, in percent.
@@ -39,7 +45,6 @@ MIN_ESTIMATE = 0.55
 #: Documents of a bucket, and shingles of a neighbourhood, that one block holds.
 BUCKET_BLOCK = 2048
 SET_BLOCK = 1 << 21
-NO_ID = 1 << 62
 
 _FACTORS = np.random.default_rng(4).integers(1, 1 << 63, SAMPLES, dtype=U) * U(2) + U(1)
 
@@ -118,10 +123,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - differing / (2 * SAMPLES)
 
 
+def text_mark(doc_id: Column, text: Column) -> Column:
+    """A digest of id and text, by which a row's text is found again."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"), 256))
+
+
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digests of the set), bands, sketch."""
+    """doc_id, mark, row, n_shingles, d1, d2 (digests of the set), bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "mark", "n_shingles", "d1", "d2", "bands", "sketch"]
         for batch in batches:
             for first, hashed, bounds in column_sets(batch.column("text"), words):
                 n = len(bounds) - 1
@@ -129,10 +140,12 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                 samples = minhash(hashed, bounds)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band_keys(samples).ravel()))
                 sketch = pa.array([x.tobytes() for x in odd_sketch(samples)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1]), keys, sketch], ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("mark").slice(first, n), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1]), keys, sketch], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary")
+    marked = rows.select("doc_id", text_mark(F.col("doc_id"), F.col("text")).alias("mark"), "text")
+    found = marked.mapInArrow(run, "doc_id long, mark binary, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -267,56 +280,74 @@ def _link_exactly(percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (signatures), and of each distinct set _d1, _d2, with its component's smallest id and first row: _component, _first."""
     small_batches(docs.sparkSession)
     rows = cut(signatures(docs, words, id_col, text_col))
-    surrogate = F.lit(NO_ID) + F.pmod(F.col("d1"), F.lit(1 << 61))
-    numbered = rows.withColumn("node", F.coalesce("doc_id", surrogate))
-    # One node for each distinct set.
-    classes = cut(numbered.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("node", "n_shingles", "bands", "sketch")).alias("x")).select("d1", "d2", "x.*"))
-    keys = classes.where(F.col("node") < NO_ID).select("node", F.explode("bands").alias("key"))
+    # One node for each distinct set. Of its rows the one of smallest id (nulls last), then the first, speaks for it.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("anon"), "doc_id", "row", "mark", "n_shingles", "bands", "sketch")).alias("x")
+    classes = cut(rows.where("n_shingles > 0").groupBy("d1", "d2").agg(best).select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "x.*"))
+    keys = classes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(apart("key").alias("_key"), F.ceil(F.col("n") / BUCKET_BLOCK).alias("blocks"))
     met = keys.join(shared.hint("shuffle_merge"), F.col("key") == F.col("_key")).select("key", "node", "blocks")
     sketched = blocked(met, "key", "node", "blocks").join(classes.select(F.col("node").alias("_node"), "sketch").hint("shuffle_merge"), F.col("node") == F.col("_node")).select("key", "i", "j", "node", "sketch")
     forest = sketched.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_bucket_forest, "u long, v long")
-    inner = cut(components(forest))
-    hoods = inner.unionByName(inner.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "hood")
-    links = components(_confirmed(docs, classes, hoods, words, percent, id_col, text_col))
-    # Rows of a class have its node, and a node that was linked has its component.
-    named = classes.select("d1", "d2", "node").join(links.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("node").alias("_class"), F.coalesce("component", "node").alias("_component"))
-    out = numbered.join(named.hint("shuffle_merge"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") > 0), "left")
-    component = F.when(F.coalesce("_component", "node") < NO_ID, F.coalesce("_component", "node"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    inner = components(forest)
+    hoods = cut(inner.unionByName(inner.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "hood"))
+    links = cut(components(_confirmed(docs, classes, hoods, words, percent, id_col, text_col)))
+    # The rows that speak for the members of a component, and the best of them.
+    members = links.unionByName(links.select(F.col("component").alias("node"), "component").distinct())
+    spoken = members.join(classes.select(F.col("node").alias("_node"), "anon", "doc_id", "row").hint("shuffle_merge"), F.col("node") == F.col("_node"))
+    lead = spoken.groupBy("component").agg(F.min(F.struct("anon", "doc_id", "row")).alias("lead")).select(apart("component").alias("_of"), "lead")
+    led = members.join(lead.hint("shuffle_merge"), F.col("component") == F.col("_of")).select(F.col("node").alias("_member"), "lead")
+    own = F.struct("anon", "doc_id", "row")
+    named = classes.join(led.hint("shuffle_merge"), F.col("node") == F.col("_member"), "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("lead", own).alias("lead"))
+    return rows, named.select("_d1", "_d2", F.col("lead.doc_id").alias("_component"), F.col("lead.row").alias("_first"))
+
+
+def _placed(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, first (whether the row leads its component; rows of empty set do)."""
+    rows, named = _components(docs, words, percent, id_col, text_col)
+    out = rows.select("doc_id", "mark", "row", "n_shingles", "d1", "d2").join(named.hint("shuffle_merge"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") > 0), "left")
+    empty = F.col("n_shingles") == 0
+    return out.select("doc_id", "mark", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"), (empty | (F.col("row") == F.col("_first"))).alias("first"))
+
+
+def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    placed = _placed(docs, words, percent, id_col, text_col)
+    kept = F.when(F.col("component_id").isNull(), F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return placed.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, hoods: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Edges of the exact links inside neighbourhoods (node, hood)."""
-    members = hoods.join(classes.select(F.col("node").alias("_node"), "n_shingles", "d1", "d2").hint("shuffle_merge"), F.col("node") == F.col("_node")).drop("_node")
+    members = hoods.join(classes.select(F.col("node").alias("_node"), "n_shingles", F.col("mark").alias("_mark")).hint("shuffle_merge"), F.col("node") == F.col("_node")).drop("_node")
     sizes = members.groupBy("hood").agg(F.ceil(F.sum("n_shingles") / SET_BLOCK).alias("blocks")).select(apart("hood").alias("_hood"), "blocks")
     sized = cut(members.join(sizes.hint("shuffle_merge"), F.col("hood") == F.col("_hood")).drop("_hood"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["hood", "blocks", "node", "shingles"]
         for batch in batches:
-            d1, d2 = (batch.column(c).to_numpy() for c in ("d1", "d2"))
             for first, hashed, bounds in column_sets(batch.column("text"), words):
-                own = set_digests(hashed, bounds)
                 n = len(bounds) - 1
-                # Of rows of equal id, those whose set is the class's.
-                good = np.flatnonzero((own[0] == d1[first : first + n]) & (own[1] == d2[first : first + n]))
-                data = pa.array([hashed[bounds[i] : bounds[i + 1]].tobytes() for i in good], pa.binary())
-                take = pa.array(first + good)
-                yield pa.RecordBatch.from_arrays([batch.column("hood").take(take), batch.column("blocks").take(take), batch.column("node").take(take), data], names)
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    with_id = texts.join(sized.hint("shuffle_merge"), F.col("doc_id") == F.col("node")).select("hood", "blocks", "node", "d1", "d2", "text")
-    found = with_id.mapInArrow(sets, "hood long, blocks long, node long, shingles binary")
+                data = pa.array([hashed[bounds[i] : bounds[i + 1]].tobytes() for i in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in names[:3]), data], names)
+
+    texts = docs.select(text_mark(F.col(id_col).cast("long"), F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    asked = sifted(texts, "mark", sieve(sized.select(F.col("_mark").alias("mark")), "mark"))
+    # Repeated rows share a mark and a text; one of them is enough.
+    met = asked.join(sized.hint("shuffle_merge"), F.col("mark") == F.col("_mark")).dropDuplicates(["mark"]).select("hood", "blocks", "node", "text")
+    found = met.mapInArrow(sets, "hood long, blocks long, node long, shingles binary")
     dealt = blocked(found, "hood", "node", "blocks").select("hood", "i", "j", "node", "shingles")
     return dealt.repartition("hood", "i", "j").sortWithinPartitions("hood", "i", "j", "node").mapInArrow(_link_exactly(percent), "u long, v long")
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all its columns."""
-    kept = near_dedup(docs, words, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_merge"), docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi").select(docs.columns)
+    """One document of each component, with all its columns, and all documents of empty set."""
+    mark = fresh(docs, "mark")
+    stays = _placed(docs, words, percent, id_col, text_col).where("first and n_shingles > 0").select(F.col("mark").alias("_mark"))
+    blank = F.translate(F.coalesce(F.col(text_col), F.lit("")), WHITE, "") == ""
+    marked = docs.where(~blank).withColumn(mark, text_mark(F.col(id_col).cast("long"), F.col(text_col)))
+    kept = marked.join(stays.hint("shuffle_merge"), marked[mark] == stays["_mark"], "left_semi").dropDuplicates([mark]).select(docs.columns)
+    return kept.unionByName(docs.where(blank))

@@ -74,3 +74,32 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns and 9 not in [r.doc_id for r in kept.collect()]
     assert N.near_dedup(docs.limit(0)).count() == 0
     assert N.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_all_64_bit_ids(spark):
+    """Ids from one end of the range to the other, against all pairs; and drop_near_copies."""
+    docs = corpus(seed=8)
+    rng = random.Random(8)
+    wide = [-(1 << 63), -(1 << 62), -1, 0, 1 << 61, 1 << 62, (1 << 62) + 5, (1 << 62) + 6, (1 << 63) - 1]
+    ids = wide + [rng.randrange(-(1 << 63), 1 << 63) for _ in range(len(docs) - len(wide))]
+    rng.shuffle(ids)
+    docs = dict(zip(ids, docs.values(), strict=True))
+    want = brute.near(docs, 2)
+    frame = spark.createDataFrame(list(docs.items()), DOC)
+    got = N.near_dedup(frame, words=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert {r.doc_id for r in N.drop_near_copies(frame, words=2).collect()} == {k for k, (_, c) in want.items() if k == c}
+
+
+def test_rows_without_id_are_searched_and_dropped(spark):
+    rng = random.Random(2)
+    a, b, c = (brute.prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (None, a), (None, a + " x"), (None, b), (None, b), (None, b + " y"), (7, c + " left"), (None, c), (9, c + " x"), (None, None), (None, " ")]
+    docs = spark.createDataFrame(rows, DOC)
+    got = N.near_dedup(docs, words=2).collect()
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["1", "1", "7", "None", "None", "None", "None", "None"]
+    assert [r.kept for r in got if r.component_id == 1 and r.doc_id is None] == [False, False]
+    assert sum(r.kept for r in got if r.component_id is None and r.n_shingles) == 1
+    kept = N.drop_near_copies(docs, words=2).collect()
+    assert sorted(str(r.doc_id) for r in kept if (r.text or "").strip()) == ["1", "7", "None"]
+    assert sum(not (r.text or "").strip() for r in kept) == 2
