@@ -1,17 +1,18 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training counts, for hashed features (a word and its prefixes of PREFIXES bytes), the toxic and the clean labelled documents
-that have them, and all documents for the Dirichlet prior.  A token takes the log-odds of its most significant feature (by
-likelihood ratio), or none, less a constant drift, so that clean text drifts down.  One linear scan finds every
-maximal-scoring segment of a document.  Under the null hypothesis segments of a text of n tokens follow an extreme-value
-law: a score s has K n exp(-lambda s) chance equals, and the r best together a known tail (Karlin and Altschul's sum
-statistic); lambda solves the moment equation over the clean documents' token scores, K is set from their segments, and a
-logistic curve over the training documents' tail probabilities gives the score.  Copies would count as independent
-evidence, so of training documents of equal text and label one counts.
-
-Fixed-size state: the feature table has 2**BITS entries whatever the corpus; at most LABEL_SAMPLE labelled rows train (a hash
-of the id picks them if there are more).  Only counts, never rows, of the corpus are gathered, and of the rows that train their
-segments' scores.
+Training counts, for features (a word and its prefixes of PREFIXES bytes), the toxic and the clean labelled documents that have
+them; those whose likelihood ratio is significant are candidates, and all documents are counted for the candidates' Dirichlet
+prior.  A token takes the log-odds of its most significant feature, or none, less a constant drift, so that clean text drifts
+down.  One linear scan finds every maximal-scoring segment of a document.  Under the null hypothesis segments of a text of n
+tokens follow an extreme-value law: a score s has K n exp(-lambda s) chance equals, and the r best together a known tail
+(Karlin and Altschul's sum statistic); lambda solves the moment equation over the clean documents' token scores, K is set from
+their segments, and a logistic curve over the training documents' tail probabilities gives the score.  Copies would count as
+independent evidence, so of training documents of equal text and label one counts.
+
+At most LABEL_SAMPLE labelled rows train (a hash of the id picks them if there are more); their texts are the training table, and
+what is broadcast and collected is bounded by it: their significant features, one row of a fixed table each, and their segments'
+scores.  A feature is a slot of 2**BITS and a check of CHECK bits; a token whose check isn't the slot's has no feature there, so
+that unseen words don't take a toxic word's score.  Corpus counts are summed by feature in the JVM; a task sends one row for each candidate.
 
 Defined results: null and empty texts score as a text without tokens; null labels don't train; of repeated labels of an id the
 highest counts; without labels of both kinds every score is 0 (predicted 0); repeated rows each get a row; an empty table
@@ -21,12 +22,10 @@ gives an empty result; lang, source, id and labels are not inputs of a score.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +33,7 @@ from pyspark.sql import functions as F
 from boundwell.llm.bytehash import PrefixHash, packed, runs, slices
 from boundwell.llm.runtime import cut, small_batches
 
-BITS = 20
-BLOCK = 1 << 12
+BITS, CHECK = 20, 24
 PREFIXES = (4, 5, 6, 7)
 #: Labelled rows that train, at most.
 LABEL_SAMPLE = 100_000
@@ -65,89 +63,124 @@ def tokens(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[np.ndarra
         doc = np.searchsorted(starts, s, side="right") - 1
         hashes = PrefixHash(buf)
         size = e - s
-        shift = np.uint64(64 - BITS)
-        features = [(hashes.mixed(s, e) >> shift).astype(np.int64)]
-        for n in PREFIXES:
-            have = size > n
-            feature = np.full(len(s), -1, np.int64)
+        slots, checks = [], []
+        for n in (None, *PREFIXES):
+            have = np.ones(len(s), bool) if n is None else size > n
             at = s[have]
             # A prefix and a word of the same letters are features of their own.
-            feature[have] = ((hashes.mixed(at, at + n) * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64)
-            features.append(feature)
-        yield first, doc, features, np.bincount(doc, minlength=len(starts))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, toxic or null) to blocks of feature counts: all documents, toxic, clean."""
-    totals = np.zeros((3, 1 << BITS), np.int64)
+            h = hashes.mixed(at, e[have]) if n is None else hashes.mixed(at, at + n) * np.uint64(0xD6E8FEB86659FD93)
+            slot, check = np.full(len(s), -1, np.int64), np.full(len(s), -1, np.int64)
+            slot[have] = (h >> np.uint64(64 - BITS)).astype(np.int64)
+            check[have] = (h >> np.uint64(64 - BITS - CHECK)).astype(np.int64) & ((1 << CHECK) - 1)
+            slots.append(slot)
+            checks.append(check)
+        yield first, doc, slots + checks, np.bincount(doc, minlength=len(starts))
+
+
+def _numbers(features: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Of each kind of feature the tokens' numbers, slot and check together; -1: none."""
+    half = len(features) // 2
+    for slot, check in zip(features[:half], features[half:], strict=True):
+        yield np.where(slot < 0, -1, slot << CHECK | check)
+
+
+def _once(doc: np.ndarray, features: list[np.ndarray], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature number), each pair once; with `wanted` (sorted) only those."""
+    pairs = []
+    for f in _numbers(features):
+        ok = f >= 0
+        if wanted is not None:
+            at = np.minimum(np.searchsorted(wanted, f), len(wanted) - 1)
+            ok &= wanted[at] == f
+        pairs.append(np.unique((doc[ok] << (BITS + CHECK)) | f[ok]))
+    both = np.concatenate(pairs)
+    return both >> (BITS + CHECK), both & ((1 << (BITS + CHECK)) - 1)
+
+
+def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, toxic) to rows (feature, toxic, clean): how many documents have it, a slice of texts at a time."""
     for batch in batches:
-        label = batch.column("toxic").to_pylist()
+        label = batch.column("toxic").to_numpy().astype(np.int64)
         for first, doc, features, _ in column_tokens(batch.column("text")):
-            kind = np.array([2 if label[first + i] is None else 1 - min(1, max(0, label[first + i])) for i in range(int(doc[-1]) + 1 if len(doc) else 0)], np.int64)
-            for f in features:
-                ok = f >= 0
-                once = np.unique((doc[ok] << BITS) | f[ok])
-                one, of = once & ((1 << BITS) - 1), once >> BITS
-                np.add.at(totals[0], one, 1)
-                for k in (0, 1):
-                    np.add.at(totals[1 + k], one[kind[of] == k], 1)
-    blocks = [b for b in range((1 << BITS) // BLOCK) if totals[0, b * BLOCK : (b + 1) * BLOCK].any()]
-    data = [zlib.compress(totals[:, b * BLOCK : (b + 1) * BLOCK].astype("<i8").tobytes(), 1) for b in blocks]
-    if blocks:
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], ["block", "counts"])
-
-
-def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in pdf["counts"])
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
-
-
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Of each feature: the clipped log-odds ratio toxic to clean if it is significant, else 0; and its significance (2 rows)."""
-    everywhere, toxic, clean = counts.astype(float)
-    if not toxic.sum() or not clean.sum():
-        return np.zeros((2, counts.shape[1]), np.float32)
-    weight = PRIOR_PART * min(toxic.sum(), clean.sum())
-    prior = weight * (everywhere + 1e-3) / (everywhere.sum() + 1e-3 * len(everywhere))
-    a, b = toxic + prior, clean + prior
-    delta = np.log(a / (toxic.sum() + weight - a)) - np.log(b / (clean.sum() + weight - b))
-    share = toxic.sum() / (toxic.sum() + clean.sum())
+            of, feature = _once(doc, features)
+            number, at = np.unique(feature, return_inverse=True)
+            toxic = np.bincount(at, label[first + of], len(number)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(toxic), pa.array(np.bincount(at, minlength=len(number)) - toxic)], ["feature", "toxic", "clean"])
+
+
+def _count_everywhere(candidates: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts to a row (feature, n) for each candidate, and a row of null for the features of all documents."""
+        n, total = np.zeros(len(candidates), np.int64), 0
+        for batch in batches:
+            for _, doc, features, _ in column_tokens(batch.column("text")):
+                n += np.bincount(np.searchsorted(candidates, _once(doc, features, candidates)[1]), minlength=len(n))
+                total += sum(int((f >= 0).sum()) for f in features[: len(features) // 2])
+        yield pa.RecordBatch.from_arrays([pa.array([*candidates.tolist(), None], pa.int64()), pa.array([*n.tolist(), total], pa.int64())], ["feature", "n"])
+
+    return run
+
+
+def significance(toxic: Column, clean: Column, share: float) -> Column:
+    """Square root of the likelihood ratio of a feature's counts against the classes' shares."""
     both = toxic + clean
-    term = lambda x, part: x * np.log(np.maximum(x, 1e-12) / np.maximum(both * part, 1e-12))
-    significance = np.sqrt(2 * np.maximum(term(toxic, share) + term(clean, 1 - share), 0.0))
-    scores = (significance >= MIN_SIGNIFICANCE) & (np.abs(delta) >= MIN_ODDS)
-    return np.stack([np.where(scores, np.clip(delta, -CLIP, CLIP), 0.0), significance]).astype(np.float32)
+    term = lambda x, part: F.when(x > 0, x * F.log(x / (both * part))).otherwise(0.0)
+    return F.sqrt(2 * F.greatest(term(toxic, share) + term(clean, 1 - share), F.lit(0.0)))
+
+
+def log_odds(everywhere: np.ndarray, toxic: np.ndarray, clean: np.ndarray, total: int, all_toxic: int, all_clean: int) -> np.ndarray:
+    """The clipped log-odds ratio, toxic to clean, of each feature; 0 where it is small. total: features of all documents."""
+    weight = PRIOR_PART * min(all_toxic, all_clean)
+    prior = weight * (everywhere + 1e-3) / (total + 1e-3 * (1 << BITS))
+    a, b = toxic + prior, clean + prior
+    delta = np.log(a / (all_toxic + weight - a)) - np.log(b / (all_clean + weight - b))
+    return np.where(np.abs(delta) >= MIN_ODDS, np.clip(delta, -CLIP, CLIP), 0.0)
+
+
+def score_table(numbers: np.ndarray, odds: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """By slot: log-odds, significance, check. Of features that share a slot the most significant has it."""
+    out = np.zeros((3, 1 << BITS), np.float32)
+    order = np.argsort(strength, kind="stable")
+    order = order[odds[order] != 0]
+    slot = numbers[order] >> CHECK
+    out[0, slot], out[1, slot], out[2, slot] = odds[order], strength[order], numbers[order] & ((1 << CHECK) - 1)
+    return out
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, score) of a sequence, in one pass (Ruzzo and Tompa)."""
-    kept: list[tuple[int, int, float, float]] = []  # start, end, sum before it, sum through it
+    """All maximal-scoring segments (start, end, score) of a sequence, in one pass (Ruzzo and Tompa).
+
+    Each open segment keeps the place of the nearest one before it that has a smaller sum to its left. A new segment looks along
+    these places, and one that it joins with leaves the list, so that the steps are bounded by the number of segments.
+    """
+    kept: list[tuple[int, int, float, float, int]] = []  # start, end, sum before it, sum through it, nearest smaller before it
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        start, left = i, before
+        start, left, j = i, before, len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][2] >= left:
-                j -= 1
+                j = kept[j][4]
             if j < 0 or kept[j][3] >= total:
-                kept.append((start, i + 1, left, total))
+                kept.append((start, i + 1, left, total, j))
                 break
-            start, left = kept[j][0], kept[j][2]
+            start, _, left, _, up = kept[j]
             del kept[j:]
-    return [(a, b, right - left) for a, b, left, right in kept]
+            j = up
+    return [(a, b, right - left) for a, b, left, right, _ in kept]
 
 
 def token_scores(features: list[np.ndarray], table: np.ndarray) -> np.ndarray:
-    """Each token's score: its most significant feature's log-odds, less the drift."""
-    best_z = table[1][features[0]]
-    best = table[0][features[0]]
-    for f in features[1:]:
-        z = np.where(f >= 0, table[1][f], -1.0)
+    """Each token's score: its most significant feature's log-odds, less the drift. A table without checks takes every feature of a slot."""
+    half = len(features) // 2
+    best_z = best = np.zeros(len(features[0]), np.float32)
+    for slot, check in zip(features[:half], features[half:], strict=True):
+        own = slot >= 0 if len(table) < 3 else (slot >= 0) & (table[2][slot] == check)
+        z = np.where(own, table[1][slot], 0.0)
         better = z > best_z
-        best_z, best = np.where(better, z, best_z), np.where(better, table[0][f], best)
+        best_z, best = np.where(better, z, best_z), np.where(better, table[0][slot], best)
     return best - np.float32(DRIFT)
 
 
@@ -266,21 +299,31 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, bound: int) -> DataF
     return rows if n <= bound else rows.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
 
 
+def training_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
+    """(text, toxic) of the labelled rows that train, of equal text and label one: at most `sample` ids."""
+    # At most `sample` rows of two numbers: the only table that is broadcast here.
+    picked = F.broadcast(cut(_sample(labels, id_col, label_col, sample)))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = texts.join(picked, F.col("id") == F.col("label_id")).select(F.sha2("text", 256).alias("signature"), "toxic", "text")
+    return cut(found.dropDuplicates(["signature", "toxic"]).select("text", "toxic"))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = LABEL_SAMPLE) -> Model:
     """labels: id_col and label_col (0 or 1)."""
     small_batches(docs.sparkSession)
-    # At most `sample` rows of two numbers: the only thing that is broadcast here.
-    picked = F.broadcast(cut(_sample(labels, id_col, label_col, sample)))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = texts.join(picked, F.col("id") == F.col("label_id")).select("label_id", "toxic", F.sha2(F.coalesce("text", F.lit("")), 256).alias("signature"))
-    unlike = signed.groupBy("signature", "toxic").agg(F.min("label_id").alias("label_id")).select("label_id", "toxic").distinct()
-    picked = F.broadcast(cut(unlike))
-    marked = texts.join(picked, F.col("id") == F.col("label_id"), "left").select("text", "toxic")
-    blocks = marked.mapInArrow(_count, "block int, counts binary").groupBy("block").applyInPandas(_sum, "block int, counts binary").collect()
-    counts = np.zeros((3, 1 << BITS), np.int64)
-    for b, data in blocks:
-        counts[:, b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(data, "<i8").reshape(3, BLOCK)
-    table = log_odds(counts)
+    training = training_table(docs, labels, id_col, text_col, label_col, sample)
+    counts = cut(training.select("text", F.least(F.greatest("toxic", F.lit(0)), F.lit(1)).alias("toxic")).mapInArrow(_count_labelled, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    all_toxic, all_clean = (int(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
+    if not all_toxic or not all_clean:
+        return Model(np.zeros((3, 1 << BITS), np.float32))
+    strength = significance(F.col("toxic"), F.col("clean"), all_toxic / (all_toxic + all_clean))
+    picked = counts.withColumn("z", strength).where(F.col("z") >= MIN_SIGNIFICANCE).orderBy("feature").collect()
+    numbers, toxic, clean, z = (np.array([r[c] for r in picked], t) for c, t in (("feature", np.int64), ("toxic", float), ("clean", float), ("z", float)))
+    table = np.zeros((3, 1 << BITS), np.float32)
+    if len(numbers):
+        everywhere = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_everywhere(numbers), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        found = {r["feature"]: r["n"] for r in everywhere.collect()}  # a row for each candidate, and the total
+        table = score_table(numbers, log_odds(np.array([found[f] for f in numbers.tolist()], float), toxic, clean, found[None], all_toxic, all_clean), z)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([histogram.tobytes()], pa.binary())], names)
 
     rows, histogram = [], np.zeros(141, np.int64)
-    for y, n, scores, h in marked.where("toxic is not null").mapInArrow(segments, "toxic int, n long, scores binary, histogram binary").collect():
+    for y, n, scores, h in training.mapInArrow(segments, "toxic int, n long, scores binary, histogram binary").collect():
         if h is None:
             rows.append((y, n, np.frombuffer(scores, "<f8")))
         else:
