@@ -100,6 +100,14 @@ def sifted(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(words), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0)).select(*rows.columns)
 
 
+def parted(rows: DataFrame, key: str, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in the sieve, and those whose key isn't."""
+    word, bit = _bit(key)
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    both = rows.join(F.broadcast(words), word == F.col("_word"), "left")
+    return both.where(hit).select(*rows.columns), both.where(~hit).select(*rows.columns)
+
+
 #: Rows of an Arrow batch of texts, where the session has Spark's own default of 10,000.
 TEXT_ROWS = 1000
 

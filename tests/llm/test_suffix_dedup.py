@@ -83,3 +83,49 @@ def test_a_hash_collision_does_not_decide(monkeypatch):
     monkeypatch.setattr(suffixes.hashes, "of", lambda a, b: np.zeros(len(a), np.uint64))  # everything collides
     group, at = np.zeros(2, np.int64), np.array([0, 8])
     assert len(set(suffixes.classes(group, at, np.array([8, 8]), True).tolist())) == 2
+
+
+def test_periodic_runs_send_few_rows_and_lose_nothing(spark):
+    rng = random.Random(4)
+    unit = brute.prose(rng, 12)
+    run = [(1, "a" * 3000), (2, "z" + "a" * 200), (3, "b" * 199), (4, "b" * 200), (5, unit * 60), (6, "tail" + (unit * 60)[37:260] + "end"), (7, brute.prose(rng, 80) + "ab" * 900 + brute.prose(rng, 80)), (8, "q" + "ba" * 100), (9, "x" * 450 + "y" * 450), (10, "é" * 700)]
+    docs = spark.createDataFrame(run, DOC)
+    assert result(S.suffix_dedup(docs).collect()) == sorted(brute.repeats(run, 200))
+    big = spark.range(1).select(S.F.lit(1).cast("long").alias("key"), S.F.expr("repeat('a', cast(id + 5000000 AS INT))").alias("text"))
+    assert S.anchors(big, 200).count() < 20_000
+
+
+def test_a_run_of_fifty_megabytes(spark):
+    docs = spark.range(1).select(S.F.col("id").alias("doc_id"), S.F.expr("concat('start', repeat('ab', cast(id + 25000000 AS INT)), 'stop')").alias("text"))
+    (r,) = S.suffix_dedup(docs).collect()
+    assert (r.n_bytes, r.n_removed, r.n_spans) == (50_000_009, 50_000_000, 1)
+
+
+def test_rows_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    docs = passages(7, 25)
+    monkeypatch.setattr(S, "_hashes", lambda doc_id, text: (S.F.pmod(S.F.xxhash64(doc_id), S.F.lit(3)), S.F.xxhash64(doc_id, text)))
+    got = S.suffix_dedup(spark.createDataFrame(docs, DOC), length=40).collect()
+    assert result(got) == sorted(brute.repeats(docs, 40))
+
+
+@pytest.mark.parametrize("group", [1, 3, 10])
+def test_groups_are_halved_until_they_are_small(spark, monkeypatch, group):
+    """The same frequent string in many contexts, of which some agree in parts."""
+    monkeypatch.setattr(S, "GROUP", group)
+    rng = random.Random(11)
+    core, sides = brute.prose(rng, 12)[:45], [brute.prose(rng, 12)[:40] for _ in range(4)]
+    docs = [(i, brute.prose(rng, 5) + rng.choice(sides)[rng.randrange(20) :] + core + rng.choice(sides)[: rng.randrange(40)] + brute.prose(rng, 5)) for i in range(40)]
+    got = S.suffix_dedup(spark.createDataFrame(docs, DOC), length=50).collect()
+    assert result(got) == sorted(brute.repeats(docs, 50))
+
+
+def test_colliding_anchor_hashes_decide_nothing(spark, monkeypatch):
+    """With one value for all hashes of anchor strings only the digests and the byte check of the sort are left."""
+    docs = [(1, "a" * 10 + "Q" * 30 + "b" * 10), (2, "c" * 10 + "R" * 30 + "d" * 10), (3, "a" * 10 + "Q" * 30 + "e" * 10)]
+    table = [(h, 0, 0, k, 0, 10, True, t.encode()) for h, (k, t) in zip((7, 7, 7), docs, strict=True)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in table], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], ["h", "lo", "hi", "key", "pos", "l", "alone", "context"])
+    batch = batch.set_column(2, "hi", pa.array([30] * 3, pa.int32()))
+    (out,) = S._sort_contexts(40)(iter([batch]))
+    assert sorted(out.column("key").to_pylist()) == [1, 3]
