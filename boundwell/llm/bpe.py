@@ -1,9 +1,8 @@
 """Byte-level BPE encoding by tree concatenation, and decoding.
 
-Ordinary text is cut where a token can't cross: before a space that stands between two non-spaces, and around special tokens.
-What stays longer than LEAF characters without such a place ("unsplit" text: base64, one endless word, runs of white space)
-is halved again and again; the leaves of all texts of a batch are encoded in one parallel call, and the halves are
-joined bottom-up.  At a join the text of a window of tokens on both sides is encoded anew.  A window is good when it agrees
+A text between special tokens that is longer than two LEAFs is halved again and again, wherever its middle falls; the leaves of
+all texts of a batch are encoded in one parallel call, and the halves are joined bottom-up.  (A Codec may be told to cut a text first
+where no token can cross, before a space that stands between two non-spaces, so that only text without such places is halved.)  At a join the text of a window of tokens on both sides is encoded anew.  A window is good when it agrees
 with the left half on AGREE whole tokens inside its start and with the right half on AGREE inside its end; otherwise the side that does
 not agree grows to twice its tokens, at most to the half's edge, where there is nothing left to agree with.  A byte-pair
 encoding is right when all its neighbouring pairs are; each pair of the joined sequence stands in a half or in the window, so
@@ -30,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that are encoded in one call at most, where they are unsplit.
-LEAF = 1 << 14
+#: Texts beyond twice as many characters are halved.
+LEAF = 1 << 12
 #: Tokens that a window has on each side of a join at first, and those that it must share with each half.
 WINDOW = 16
 AGREE = 4
@@ -48,10 +47,11 @@ def byte_of_char() -> dict[str, int]:
 class Codec:
     """Encodes and decodes with one vocabulary file."""
 
-    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW, threads: int = 2) -> None:
+    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW, threads: int = 2, safe_cuts: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        self.leaf, self.window, self.threads = leaf, window, threads
+        self.leaf, self.window, self.threads, self.safe_cuts = leaf, window, threads, safe_cuts
+        self.joins = 0
         self.special = {x["content"]: x["id"] for x in data["added_tokens"] if x["special"]}
         chars = byte_of_char()
         special_ids = set(self.special.values())
@@ -103,9 +103,9 @@ class Codec:
         return parts
 
     def _chunks(self, text: str) -> list[str]:
-        """Pieces that no token crosses, of about leaf characters where the text allows it."""
+        """Pieces that no token crosses, of about leaf characters where the text allows it; without safe cuts the text."""
         out, start = [], 0
-        while len(text) - start > 2 * self.leaf:
+        while self.safe_cuts and len(text) - start > 2 * self.leaf:
             at = start + self.leaf
             while at < len(text) - 1 and not (text[at] == " " and not text[at - 1].isspace() and not text[at + 1].isspace()):
                 at = text.find(" ", at + 1)
@@ -149,6 +149,7 @@ class Codec:
 
     def join(self, left: np.ndarray, right: np.ndarray, text: str) -> np.ndarray:
         """The encoding of a text whose halves have these encodings."""
+        self.joins += 1
         data = text.encode()
         a, b = np.concatenate(([0], np.cumsum(self.sizes[left]))), np.concatenate(([0], np.cumsum(self.sizes[right])))
         middle = int(a[-1])
@@ -211,8 +212,8 @@ class Codec:
 
 @cache
 def codec(path: str) -> Codec:
-    """One codec for each worker process and file."""
-    return Codec(path)
+    """One codec for each worker process and file; it halves every long text."""
+    return Codec(path, safe_cuts=False)
 
 
 def _batches(batch: pa.RecordBatch, column: str, size: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:

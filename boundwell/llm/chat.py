@@ -3,15 +3,17 @@
 The legal orders of turns are an automaton: an optional system turn first, then user and assistant in turn, the assistant last.
 A conversation is repaired by the cheapest mix of keeping a turn, giving it another role, merging it into the turn before it and
 inserting empty turns; Costs has the price of each; a known role is
-changed only where no merge or insertion helps.  Turns are cut into blocks.  A block's effect is a matrix of least
-costs between automaton states, and such matrices multiply (minimum of sums), so blocks of one long conversation are
-priced by different tasks, chained through their small matrices, and traced back by different tasks again.
+changed only where no merge or insertion helps.  Turns are cut into blocks by turn number (and turns without a number by the first
+bytes of role and text), and blocks into parts of at most BLOCK rows as they stream by.  A part's effect is a matrix of least
+costs between automaton states, and such matrices multiply (minimum of sums), so parts of one long conversation are
+priced by different tasks, chained through their small matrices, and traced back by different tasks again; no task holds
+more than a part, however many rows share a turn number.
 
 Every row has the piece of rendered text that it adds; the pieces in order are the formatted conversation, so no task or row
 holds a whole one.
 
 Defined results: null text counts as empty; null or unknown roles are roles that must be changed; turns are in order of turn
-(nulls last), then role, then text, then row; repeated rows are turns of their own, which merge; an empty table gives an
+(nulls last, these by the first two bytes of role and of text), then role, then text, then row; repeated rows are turns of their own, which merge; an empty table gives an
 empty result; null conversation ids are one conversation; other columns are not read.
 """
 
@@ -29,7 +31,7 @@ from boundwell.llm.runtime import cut
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
-#: Turns that one block has, by turn number.
+#: Turn numbers of a block, and rows of a part of it.
 BLOCK = 512
 FAR = 1 << 40
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant"}
@@ -134,18 +136,20 @@ def render(action: str, role: int, gap: tuple[int, ...], text: str, first: bool,
     return piece if tail is None else piece + end + "".join(_message(r) + end for r in tail)
 
 
-def _blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
-    """The rows of each (conv, block), which stand together in a task."""
-    key, rows = None, []
+def _parts(frames: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[tuple, list[dict]]]:
+    """The rows of each (conv, block), which stand together in a task, in parts of at most `most`: ((conv, block, part), rows)."""
+    key, part, rows = None, 0, []
     for batch in frames:
         for row in batch.to_pylist():
-            if (row["conv"], row["block"]) != key and rows:
-                yield key, rows
-                rows = []
-            key = (row["conv"], row["block"])
+            own = (row["conv"], row["block"])
+            if rows and (own != key or len(rows) == most):
+                yield (*key, part), rows
+                part, rows = part + 1, []
+            if own != key:
+                key, part = own, 0
             rows.append(row)
     if rows:
-        yield key, rows
+        yield (*key, part), rows
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", costs: Costs = Costs(), block: int = BLOCK) -> DataFrame:
@@ -153,45 +157,51 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     role = F.lower(F.trim(F.coalesce(F.col(role_col).cast("string"), F.lit(""))))
     for alias, name in ALIASES.items():
         role = F.when(role == alias, name).otherwise(role)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # Turns without a number, in blocks after all others: the first two bytes of role and of text as a number.
+    front = lambda c: F.conv(F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 4), 4, "0"), 16, 10).cast("long")
+    loose = F.lit(1 << 62) + front(role) * 65536 + front(text)
     base = turns.select(
         F.col(conv_col).alias("conv"),
         F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.floor(F.col(turn_col).cast("long") / block), F.lit((1 << 62))).cast("long").alias("block"),
+        F.coalesce(F.floor(F.col(turn_col).cast("long") / block), loose).cast("long").alias("block"),
         role.alias("role"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        text.alias("text"),
     )
-    dealt = base.repartition("conv", "block").sortWithinPartitions("conv", "block", F.col("turn").asc_nulls_last(), "role", "text")
+    order = ("conv", "block", F.col("turn").asc_nulls_last(), "role", "text")
+    dealt = base.repartition("conv", "block").sortWithinPartitions(*order)
     conv_type = base.schema["conv"].dataType.simpleString()
+    conv_arrow = to_arrow_type(base.schema["conv"].dataType)
 
     def priced(batches):
-        for (conv, blk), rows in _blocks(batches):
+        kind = pa.schema([("conv", conv_arrow), ("block", pa.int64()), ("part", pa.int64()), ("matrix", pa.list_(pa.int64()))])
+        for (conv, blk, part), rows in _parts(batches, block):
             matrix = price([r["role"] for r in rows], costs)
-            yield pa.RecordBatch.from_pylist([{"conv": conv, "block": blk, "matrix": [x for line in matrix for x in line]}], schema=pa.schema([("conv", conv_arrow), ("block", pa.int64()), ("matrix", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pylist([{"conv": conv, "block": blk, "part": part, "matrix": [x for line in matrix for x in line]}], schema=kind)
 
-    conv_arrow = to_arrow_type(base.schema["conv"].dataType)
-    matrices = cut(dealt.select("conv", "block", "role").mapInArrow(priced, f"conv {conv_type}, block long, matrix array<long>"))
+    matrices = cut(dealt.select("conv", "block", "role").mapInArrow(priced, f"conv {conv_type}, block long, part long, matrix array<long>"))
 
-    # How each block is entered and left on the cheapest way, from a conversation's matrices in order.
-    names = ("conv", "block", "entered", "left", "cost", "first", "last")
-    kinds = (conv_arrow, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
+    # How each part is entered and left on the cheapest way, from a conversation's matrices in order: a row of numbers for each.
+    names = ("conv", "block", "part", "entered", "left", "cost", "first", "last")
+    kinds = (conv_arrow, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
 
     def chained(batches):
         conv, held, out = None, [], []
 
         def close() -> None:
-            for (block_, entered, left, cost), i in zip(chain(held, costs), range(len(held)), strict=True):
-                out.append((conv, block_, entered, left, cost, i == 0, i == len(held) - 1))
+            for ((block_, part), entered, left, cost), i in zip(chain(held, costs), range(len(held)), strict=True):
+                out.append((conv, block_, part, entered, left, cost, i == 0, i == len(held) - 1))
 
         def table():
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], list(names))
 
         for batch in batches:
-            for c, blk, matrix in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for c, blk, part, matrix in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if held and c != conv:
                     close()
                     held = []
                 conv = c
-                held.append((blk, matrix))
+                held.append(((blk, part), matrix))
             if len(out) > 10_000:
                 yield table()
                 out = []
@@ -199,23 +209,35 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             close()
         yield table()
 
-    in_order = matrices.repartition("conv").sortWithinPartitions("conv", "block")
-    ends = in_order.mapInArrow(chained, f"conv {conv_type}, block long, entered int, left int, cost long, first boolean, last boolean")
-    ends = ends.withColumnsRenamed({"conv": "_conv", "block": "_block"})
-    joined = base.join(ends.hint("shuffle_merge"), F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block"))).drop("_conv", "_block")
-    ready = joined.repartition("conv", "block").sortWithinPartitions("conv", "block", F.col("turn").asc_nulls_last(), "role", "text")
+    in_order = matrices.repartition("conv").sortWithinPartitions("conv", "block", "part")
+    ends = in_order.mapInArrow(chained, f"conv {conv_type}, block long, part long, entered int, left int, cost long, first boolean, last boolean")
+    # A block's rows meet its parts' ways, a row for each block of at most BLOCK rows and one for each further part of it, in its order: ways first.
+    ways = ends.select("conv", "block", F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), F.struct("part", "entered", "left", "cost", "first", "last").alias("way"))
+    both = base.withColumn("way", F.lit(None).cast(ways.schema["way"].dataType)).unionByName(ways)
+    ready = both.repartition("conv", "block").sortWithinPartitions("conv", "block", F.col("way").isNull(), "way.part", *order[2:])
 
     shown = ("conv_id", "turn", "block", "place", "action", "role", "inserted_before", "inserted_after", "cost", "piece")
     types = (conv_arrow, pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string())
 
     def written(batches):
-        for (conv, blk), rows in _blocks(batches):
-            ways = trace([r["role"] for r in rows], rows[0]["entered"], rows[0]["left"], costs)
+        def told(batches, known):
+            """The turns, while the ways of the current block are kept: six numbers for each of its parts."""
+            for batch in batches:
+                way = batch.column("way")
+                turns_ = batch.filter(way.is_null())
+                for c, k, w in zip(*(batch.column(n).filter(way.is_valid()).to_pylist() for n in ("conv", "block", "way")), strict=True):
+                    known[c, k, w["part"]] = w
+                yield turns_
+
+        known: dict = {}
+        for key, rows in _parts(told(batches, known), block):
+            way = known.pop(key)
+            steps_ = trace([r["role"] for r in rows], way["entered"], way["left"], costs)
             out = []
-            for i, (r, (action, to, gap)) in enumerate(zip(rows, ways, strict=True)):
-                tail = ending(r["left"], costs)[1] if r["last"] and i == len(rows) - 1 else None
-                piece = render(action, to, gap, r["text"], r["first"] and i == 0, tail)
-                out.append((conv, r["turn"], blk, i, action, ROLES[to - 1], len(gap), len(tail or ()), r["cost"], piece))
+            for i, (r, (action, to, gap)) in enumerate(zip(rows, steps_, strict=True)):
+                tail = ending(way["left"], costs)[1] if way["last"] and i == len(rows) - 1 else None
+                piece = render(action, to, gap, r["text"], way["first"] and i == 0, tail)
+                out.append((key[0], r["turn"], key[1], key[2] * block + i, action, ROLES[to - 1], len(gap), len(tail or ()), way["cost"], piece))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], list(shown))
 
     return ready.mapInArrow(written, f"conv_id {conv_type}, turn long, block long, place int, action string, role string, inserted_before int, inserted_after int, cost long, piece string")

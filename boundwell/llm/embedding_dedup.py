@@ -10,9 +10,14 @@ stored.  Cosines of pairs that meet are computed in double precision from the wh
 Equal vectors of a label are one node with a weight, so copies are not expanded.  Buckets are cut into blocks of stored and
 blocks of probing vectors, a task's memory holds one block; tasks emit each vector's number of links and a spanning forest, never pairs.
 
+Directions of few coordinates coincide, so a part has eight or more; below 32 dimensions there are two parts with as many
+directions each as two of the four have otherwise, and below 8 there is one. Probes are moved only if a bitmap of bounded size, made
+of the directions that have a stored vector, lets them pass; vectors follow when their bucket is known to have a pair.
+
 Defined results: null labels, null vectors, vectors with null or non-finite components and zero vectors have no links; only
-vectors of equal label and length are compared; rows of equal id are one node; rows without an id are linked with equal vectors only
-and have component_id null where none of these has an id; an empty table gives an empty result; other columns are not read.
+vectors of equal label and length are compared (labels that aren't whole numbers are compared as text); equal vectors of a label are
+one node, with or without an id; rows that share an id are rows of their own; component_id is null where no row of the component has an
+id, and these are kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boundwell.llm.components import Forest, components
-from boundwell.llm.runtime import apart, cut
+from boundwell.llm.runtime import apart, cut, sieve, sifted
 
 BLOCKS, CODES = 4, 32
 #: Depth of a cap below the best score, for unit vectors of 64 components. Of pairs of cosine 0.98 none of 4000 was missed at 0.12.
@@ -35,22 +40,32 @@ STORED_BLOCK, PROBE_BLOCK = 2048, 16384
 COSINE = 0.98
 
 
+def shape(dim: int) -> tuple[int, int]:
+    """Parts, and directions to choose from in each. A part needs several coordinates, or its directions coincide."""
+    if dim >= 8 * BLOCKS:
+        return BLOCKS, CODES
+    return (2, CODES ** (BLOCKS // 2)) if dim >= 8 else (1, CODES ** (BLOCKS // 2)) if dim > 1 else (1, 2)
+
+
 @cache
 def code(dim: int) -> tuple[np.ndarray, list[np.ndarray], list[slice]]:
     """A rotation, and for each part its directions and its coordinates."""
     rng = np.random.default_rng(dim)
     rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-    parts = [slice(int(x[0]), int(x[-1]) + 1) for x in np.array_split(np.arange(dim), min(BLOCKS, dim))]
+    n, codes = shape(dim)
+    parts = [slice(int(x[0]), int(x[-1]) + 1) for x in np.array_split(np.arange(dim), n)]
     books = []
     for p in parts:
-        c = rng.standard_normal((CODES, p.stop - p.start))
+        c = rng.standard_normal((codes, p.stop - p.start)) if dim > 1 else np.array([[1.0], [-1.0]])
         books.append(c / np.linalg.norm(c, axis=1, keepdims=True))
     return rotation, books, parts
 
 
 def depth(reach: float, dim: int) -> float:
-    """Scores are closer together in more dimensions."""
-    return reach * (64 / dim) ** 0.4
+    """Scores are closer together in more dimensions; with one or two parts directions are dense, and near vectors differ less in their scores."""
+    if dim >= 8 * BLOCKS:
+        return reach * (64 / dim) ** 0.4
+    return reach * (1.0 if dim >= 12 else 0.8 if dim >= 8 else min(dim, 5) / 7)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -65,9 +80,9 @@ def part_scores(units: np.ndarray) -> list[np.ndarray]:
 
 def direction_scores(units: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """Score of each vector (rows) for each direction (columns)."""
-    total = 0.0
+    total, (_, codes) = 0.0, shape(units.shape[1])
     for k, s in enumerate(part_scores(units)):
-        total = total + s[:, directions // CODES**k % CODES]
+        total = total + s[:, directions // codes**k % codes]
     return total
 
 
@@ -79,7 +94,7 @@ def _halves(scores: list[np.ndarray]) -> list[tuple[np.ndarray, int]]:
         total = np.zeros((len(scores[0]), 1))
         for s in some:
             total = (s[:, :, None] + total[:, None, :]).reshape(len(total), -1)
-        out.append((total, CODES**first))
+        out.append((total, scores[0].shape[1] ** first))
     return out
 
 
@@ -87,6 +102,11 @@ def best_scores(units: np.ndarray) -> np.ndarray:
     return sum(s.max(1) for s in part_scores(units))
 
 
+def best_directions(units: np.ndarray) -> np.ndarray:
+    (a, wa), (b, wb) = _halves(part_scores(units))
+    return a.argmax(1) * wa + b.argmax(1) * wb
+
+
 def decode_caps(units: np.ndarray, reach: float = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, direction) of all directions in the rows' caps; and each row's best direction."""
     (a, wa), (b, wb) = _halves(part_scores(units))
@@ -114,20 +134,24 @@ def _by_dim(batch: pa.RecordBatch, column: str = "vector") -> Iterator[tuple[pa.
         yield at, _matrix(batch.column(column).take(at), int(dim))
 
 
-def _decode(reach: float):
+def _decode(reach: float | None):
+    """mapInArrow function: rows (label, node, vector) to rows (label, dim, direction, node, stored): the best direction of each vector, or with a reach all of its cap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (label, node, vector) to rows (label, dim, direction, node, stored)."""
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 yield from decoded(whole.slice(start, 1000))
 
     def decoded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at, matrix in _by_dim(batch):
-            row, direction, best = decode_caps(unit(matrix), depth(reach, matrix.shape[1]))
+            units, dim = unit(matrix), matrix.shape[1]
             label, node = batch.column("label").take(at), batch.column("node").take(at)
-            for rows, d, stored in ((np.arange(len(best)), best, True), (row, direction, False)):
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([label.take(take), pa.array(np.full(len(rows), matrix.shape[1], np.int32)), pa.array(d.astype(np.int64)), node.take(take), pa.array(np.full(len(rows), stored))], ["label", "dim", "direction", "node", "stored"])
+            if reach is None:
+                rows, direction = np.arange(len(units)), best_directions(units)
+            else:
+                rows, direction, _ = decode_caps(units, depth(reach, dim))
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([label.take(take), pa.array(np.full(len(rows), dim, np.int32)), pa.array(direction.astype(np.int64)), node.take(take), pa.array(np.full(len(rows), reach is None))], ["label", "dim", "direction", "node", "stored"])
 
     return run
 
@@ -147,8 +171,7 @@ def _link(cosine: float, reach: float):
             smaller = np.flatnonzero(b[j] < a[i])
             if len(smaller):
                 ua, ub = np.unique(i[smaller]), np.unique(j[smaller])
-                best_b = _halves(part_scores(xb[ub]))
-                own = best_b[0][0].argmax(1) * best_b[0][1] + best_b[1][0].argmax(1) * best_b[1][1]
+                own = best_directions(xb[ub])
                 inside = direction_scores(xa[ua], own) >= best_scores(xa[ua])[:, None] - depth(reach, xa.shape[1]) - 1e-12
                 elsewhere = inside[np.searchsorted(ua, i[smaller]), np.searchsorted(ub, j[smaller])]
                 keep = np.ones(len(i), bool)
@@ -197,30 +220,42 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     """One row per vector: vec_id, n_links, component_id, kept."""
     v = F.col(vector_col)
     usable = F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.when(F.coalesce(usable, F.lit(False)), F.transform(v, lambda x: x.cast("double") + 0.0)).alias("vector"))
+    whole = vectors.schema[label_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    label = F.col(label_col).cast("long") if whole else F.xxhash64(F.col(label_col).cast("string"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), F.when(F.coalesce(usable, F.lit(False)), F.transform(v, lambda x: x.cast("double") + 0.0)).alias("vector"))
     good = rows.where("vector is not null")
-    classes = cut(good.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")))
-    searched = classes.where("node is not null")
-    caps = searched.select("label", "node", "vector").mapInArrow(_decode(reach), "label long, dim int, direction long, node long, stored boolean")
-    same = lambda *names: [F.col(n) == F.col("_" + n) for n in names]
+    # One node for each distinct vector of a label, numbered apart from the ids.
+    grouped = good.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
+    classes = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
+    kinds = "label long, dim int, direction long, node long, stored boolean"
     marks = ("label", "dim", "direction")
-    # Buckets in which something is stored; all other probes end here.
+    bucket = F.xxhash64(*marks).alias("bucket")
+    searched = classes.select("label", "node", "vector")
+    stored = cut(searched.mapInArrow(_decode(None), kinds).select("*", bucket))
+    # Probes of directions under which nothing is stored end before they are moved.
+    probes = sifted(searched.mapInArrow(_decode(reach), kinds).select("*", bucket), "bucket", sieve(stored, "bucket"))
+    caps = cut(stored.unionByName(probes).drop("bucket"))
+    same = lambda *names: [F.col(n) == F.col("_" + n) for n in names]
     sizes = caps.groupBy(*marks).agg(F.count_if("stored").alias("n"), F.count_if(~F.col("stored")).alias("m")).where("n > 0 and m > 1")
     blocks = sizes.select(*(apart(n).alias("_" + n) for n in marks), F.ceil(F.col("n") / STORED_BLOCK).cast("int").alias("ns"), F.ceil(F.col("m") / PROBE_BLOCK).cast("int").alias("np"))
     met = caps.join(blocks.hint("shuffle_merge"), same(*marks)).select(*marks, "node", "stored", "ns", "np")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("stored"), F.col("ns")).otherwise(F.col("np"))).cast("int")
     dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("stored"), F.col("np")).otherwise(F.col("ns")) - 1)))
     placed = dealt.select(*marks, F.when(F.col("stored"), F.col("own")).otherwise(F.col("other")).alias("bs"), F.when(F.col("stored"), F.col("other")).otherwise(F.col("own")).alias("bp"), "stored", "node")
-    named = searched.select(F.col("node").alias("_node"), F.col("label").alias("_label"), "weight", "vector")
-    full = placed.join(named.hint("shuffle_merge"), same("node", "label")).where(F.size("vector") == F.col("dim")).select(*marks, "bs", "bp", "stored", "node", "weight", "vector")
+    named = classes.select(F.col("node").alias("_node"), "weight", "vector")
     group = [*marks, "bs", "bp"]
+    full = placed.join(named.hint("shuffle_merge"), same("node")).select(*group, "stored", "node", "weight", "vector")
     linked = cut(full.repartition(*group).sortWithinPartitions(*group, F.desc("stored")).mapInArrow(_link(cosine, reach), "u long, v long, links long"))
     degree = linked.where("links is not null").groupBy(F.col("u").alias("_node")).agg(F.sum("links").alias("links"))
-    parts = components(linked.where("v is not null").select("u", "v")).withColumnRenamed("node", "_member")
+    parts = cut(components(linked.where("v is not null").select("u", "v")))
+    # The smallest id of each component.
+    members = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
+    least = members.join(classes.select(F.col("node").alias("_node"), "id").hint("shuffle_merge"), same("node")).groupBy("component").agg(F.min("id").alias("least")).select(apart("component").alias("_component"), "least")
+    led = members.join(least.hint("shuffle_merge"), same("component")).select(F.col("node").alias("_member"), "least")
     of_class = (
-        classes.join(degree.hint("shuffle_merge"), F.col("node") == F.col("_node"), "left")
-        .join(parts.hint("shuffle_merge"), F.col("node") == F.col("_member"), "left")
-        .select(F.col("label").alias("_label"), F.col("vector").alias("_vector"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+        classes.join(degree.hint("shuffle_merge"), same("node"), "left")
+        .join(led.hint("shuffle_merge"), F.col("node") == F.col("_member"), "left")
+        .select(F.col("label").alias("_label"), F.col("vector").alias("_vector"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "id").alias("component"))
     )
     out = rows.join(of_class.hint("shuffle_merge"), [F.col("label") == F.col("_label"), F.col("vector") == F.col("_vector")], "left")
     component = F.when(F.col("_label").isNull(), F.col("vec_id")).otherwise(F.col("component"))

@@ -1,10 +1,12 @@
 """WARC archives as a chunked record table, written and read back as a stream.
 
-A payload enters Python only as rows (record, chunk number, bytes) of at most CHUNK bytes, which the JVM cuts. A running SHA-1
-goes from chunk to chunk; each row carries the digest up to its end, so that the last one has the record's digest and a reader
-can tell at which chunk a stored record was damaged.  The archive is a table of the very bytes of its WARC/1.1 records, cut at
-the same chunks: reading a record's rows in order gives the record, and export_warc writes them as an ordinary .warc file.
-The table is written by Spark to the shared folder, so that a lost task is committed once or not at all.
+Payloads are cut in the scan: what is moved, joined or handed to Python is rows (record, chunk number, bytes) of at most CHUNK
+bytes. A running SHA-1 goes from chunk to chunk while they are scanned; each row carries the digest up to its end, so that the last
+one has the record's digest and a reader can tell at which chunk a stored record was damaged.  A record's type reaches its chunks by
+a join on its id and a 64-bit hash of its payload, which only tells payloads of one id apart.  The archive is a table of the very
+bytes of its WARC/1.1 records, cut at the same chunks: reading a record's rows in order gives the record, and export_warc
+writes them as an ordinary .warc file.  The table is written by Spark to the shared folder, so that a lost task is committed
+once or not at all.
 
 Records of equal payloads: the one with the largest id is the response, the others revisit it.  Their payloads are empty in
 the archive, and the digest and WARC-Refers-To say what they stand for.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundwell.llm.runtime import cut, use_checkpoint_dir
+from boundwell.llm.runtime import cut, remove, scratch
 
 CHUNK = 1 << 20
 CRLF = b"\r\n"
@@ -44,29 +46,29 @@ def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return pieces.select(*rest, "last_chunk", "chunk_no", F.col("payload").substr(F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
 
 
-def _payload_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, last_chunk, chunk_no, data), a payload's chunks together: one row (page_id, n_bytes, sha1) for each payload."""
+def _running_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds sha1_so_far and bytes_so_far to chunk rows, of which a payload's stand together in order."""
     state, n = hashlib.sha1(), 0
     for batch in batches:
-        out = []
-        for page, last, k, data in zip(*(batch.column(c).to_pylist() for c in ("page_id", "last_chunk", "chunk_no")), batch.column("data"), strict=True):
+        digests, sizes = [], []
+        for k, data in zip(batch.column("chunk_no").to_pylist(), batch.column("data"), strict=True):
             if k == 0:
                 state, n = hashlib.sha1(), 0
             piece = data.as_buffer()
             state.update(piece)
             n += piece.size
-            if k == last:
-                out.append((page, n, state.hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["page_id", "n_bytes", "sha1"])
+            digests.append(state.hexdigest())
+            sizes.append(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string()), pa.array(sizes, pa.int64())], [*batch.schema.names, "sha1_so_far", "bytes_so_far"])
 
 
 def classify(digests: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, n_bytes, sha1) of all payloads, to distinct (page_id, n_bytes, sha1, record_type, refers_to)."""
+    """(page_id, mark, n_bytes, sha1) of all payloads, to distinct (page_id, mark, n_bytes, sha1, record_type, refers_to)."""
     newest = digests.groupBy("sha1").agg(F.max("page_id").alias("newest")).select(F.concat("sha1", F.lit("")).alias("_sha1"), "newest")  # an exchange of its own, see apart()
     again = (F.col("n_bytes") >= min_bytes) & ~F.col("newest").eqNullSafe(F.col("page_id"))
     return (
         digests.join(newest.hint("shuffle_merge"), F.col("sha1") == F.col("_sha1"))
-        .select("page_id", "n_bytes", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("newest")).alias("refers_to"))
+        .select("page_id", "mark", "n_bytes", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("newest")).alias("refers_to"))
         .distinct()
     )
 
@@ -99,41 +101,50 @@ ARCHIVE = "record long, last_chunk int, chunk_no int, bytes binary, sha1_so_far
 
 
 def _serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunk rows with the records' metadata, to rows of the archive."""
-    state = hashlib.sha1()
+    """Chunk rows with the records' metadata, in any order, to rows of the archive."""
     for batch in batches:
         cols = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "data"}
         rows = []
         for i, data in enumerate(batch.column("data")):
             r = {c: v[i] for c, v in cols.items()}
-            last = r["last_chunk"]
-            if r["chunk_no"] == 0:
-                state = hashlib.sha1()
-            block = data.as_py()
-            state.update(block)
             text = header(r["page_id"], r["url"], r["record_type"], r["sha1"], r["n_bytes"], r["refers_to"]) if r["chunk_no"] == 0 else b""
-            rows.append((r["record"], last, r["chunk_no"], text + block + (2 * CRLF if r["chunk_no"] == last else b""), state.hexdigest()))
+            stored = r["record_type"] == "response"
+            last = r["last_chunk"] if stored else 0
+            digest = r["sha1_so_far"] if stored else hashlib.sha1().hexdigest()
+            rows.append((r["record"], last, r["chunk_no"], text + (data.as_py() if stored else b"") + (2 * CRLF if r["chunk_no"] == last else b""), digest))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], ["record", "last_chunk", "chunk_no", "bytes", "sha1_so_far"])
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk: int = CHUNK) -> None:
-    """Write the pages' WARC records to the table at path.
+CHUNKED = "page_id long, mark long, url string, record long, last_chunk int, chunk_no int, data binary, sha1_so_far string, bytes_so_far long"
 
-    The pages are read twice, first for the digests alone: a payload is moved only once, to meet its record's type.
-    """
+
+def chunk_rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str, chunk: int) -> DataFrame:
+    """CHUNKED rows of the pages, made in the scan. mark: a hash of the payload; record: a number that is the record's own within one job."""
     base = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
+        F.xxhash64(F.coalesce(F.col(payload_col), F.lit(""))).alias("mark"),
         F.col(url_col).alias("url"),
+        F.monotonically_increasing_id().alias("record"),
         F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"),
     )
-    digests = cut(chunked(base.select("page_id", "payload"), chunk).mapInArrow(_payload_digests, "page_id long, n_bytes long, sha1 string"))
-    types = classify(digests, min_bytes).withColumnsRenamed({"page_id": "_page_id", "sha1": "_sha1"})
-    keyed = base.withColumn("sha1", F.sha1("payload"))
-    full = keyed.join(types.hint("shuffle_merge"), keyed["page_id"].eqNullSafe(F.col("_page_id")) & (F.col("sha1") == F.col("_sha1")))
-    stored = full.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.unhex(F.lit(""))))
-    rows = chunked(stored.select(F.monotonically_increasing_id().alias("record"), "page_id", "url", "n_bytes", "sha1", "record_type", "refers_to", "payload"), chunk)
-    rows.mapInArrow(_serialize, ARCHIVE).write.option("compression", "zstd").parquet(path)
+    return chunked(base, chunk).mapInArrow(_running_digests, CHUNKED)
+
+
+def archive_rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int, chunk: int) -> DataFrame:
+    """ARCHIVE rows of the pages. The pages are read twice, first for the digests alone."""
+    ends = chunk_rows(pages, id_col, url_col, payload_col, chunk).where("chunk_no = last_chunk")
+    digests = cut(ends.select("page_id", "mark", F.col("bytes_so_far").alias("n_bytes"), F.col("sha1_so_far").alias("sha1")))
+    types = classify(digests, min_bytes).withColumnsRenamed({"page_id": "_page_id", "mark": "_mark"})
+    rows = chunk_rows(pages, id_col, url_col, payload_col, chunk)
+    typed = rows.join(types.hint("shuffle_merge"), F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.col("mark") == F.col("_mark")))
+    kept = typed.where("record_type = 'response' or chunk_no = 0")
+    return kept.select("record", "page_id", "url", "n_bytes", "sha1", "record_type", "refers_to", "last_chunk", "chunk_no", "sha1_so_far", "data").mapInArrow(_serialize, ARCHIVE)
+
+
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk: int = CHUNK) -> None:
+    """Write the pages' WARC records to the table at path."""
+    archive_rows(pages, id_col, url_col, payload_col, min_bytes, chunk).write.option("compression", "zstd").parquet(path)
 
 
 class RecordReader:
@@ -223,9 +234,10 @@ def read_warc(source: BinaryIO, piece: int = 1 << 16) -> Iterator[tuple]:
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """Write the pages as archives to the shared folder and read them back: RESULT rows, one per page."""
+    """Write the pages as archives to the shared folder and read them back: RESULT rows, one per page. The archive is deleted then."""
     spark = pages.sparkSession
-    run = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-    path = f"{use_checkpoint_dir(spark).rstrip('/')}/warc-{run}"
+    path = scratch(spark, "warc")
     write_archive(pages, path, id_col, url_col, payload_col, min_bytes, chunk)
-    return read_archive(spark.read.schema(ARCHIVE).parquet(path))
+    found = cut(read_archive(spark.read.schema(ARCHIVE).parquet(path)))
+    remove(spark, path)
+    return found

@@ -68,3 +68,24 @@ def test_queries_and_edge_cases(spark, library):
 def test_other_vocabularies_are_refused_not_misread():
     with pytest.raises(ValueError):
         bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=120).map("".join) | st.text(max_size=200))
+def test_halving_anywhere_gives_the_same_ids(library, text):
+    for leaf, w in ((4, 2), (16, 4)):
+        c = bpe.Codec(PATH, leaf=leaf, window=w, threads=1, safe_cuts=False)
+        assert c.encode_batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_rows_of_the_tables_are_joined(library):
+    """With the queries' own codec: the joins that the documents of a table make, and their ids."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    c = bpe.Codec(PATH, safe_cuts=False)
+    assert bpe.codec(PATH).safe_cuts is False and bpe.codec(PATH).leaf == c.leaf
+    long = [t for t in texts if len(t) > 2 * c.leaf]
+    got = c.encode_batch(long)
+    assert c.joins >= len(long) > 0
+    assert all(ids.tolist() == library.encode(t, add_special_tokens=False).ids for ids, t in zip(got, long, strict=True))

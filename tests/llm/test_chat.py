@@ -87,3 +87,15 @@ def test_rendering_does_not_depend_on_blocks(spark, block):
     assert text[None] == m("user", "n") + m("assistant", "")
     assert {r.conv_id: r.cost for r in got}[1] == COSTS.merge
     assert C.format_chats(turns.limit(0)).count() == 0
+
+
+def test_rows_of_one_turn_number_and_of_none_come_in_parts(spark):
+    """More rows than a part has share a number, or have none: no part is larger, and the result is that of one block."""
+    rows = [(1, 5, ("user", "assistant")[i % 2], f"t{i}") for i in range(100)] + [(1, None, ("user", "assistant", None)[i % 3], "same" if i % 2 else f"u{i}") for i in range(90)] + [(1, 7, "user", "z")]
+    turns = spark.createDataFrame(rows, TURN)
+    got = C.format_chats(turns, block=16).collect()
+    whole = C.format_chats(turns, block=1000).collect()
+    assert len(got) == len(rows) and rendered(got) == rendered(whole)
+    assert {r.cost for r in got} == {r.cost for r in whole}
+    parts = list(C._parts(iter([C.pa.RecordBatch.from_pylist([{"conv": 1, "block": 0, "x": i} for i in range(40)])]), 16))
+    assert [(k, len(r)) for k, r in parts] == [((1, 0, 0), 16), ((1, 0, 1), 16), ((1, 0, 2), 8)]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from boundwell.llm import embedding_dedup as E
 from tests.llm import brute
@@ -81,3 +82,47 @@ def test_edge_cases(spark):
     assert all(by[k] == (0, k, True) for k in (4, 5, 6, 7, 8, 9, 10, 11))
     assert by[12] == (1, 12, True) and by[13] == (1, 12, False) and by[15] == (1, 14, False)
     assert E.embedding_dedup(docs.limit(0)).count() == 0
+
+
+def near_pairs(dim, n, seed=2):
+    rng = np.random.default_rng(seed)
+    x = E.unit(rng.standard_normal((n, dim)))
+    z = rng.standard_normal(x.shape)
+    z = E.unit(z - (z * x).sum(1, keepdims=True) * x)
+    return x, 0.98 * x + np.sqrt(1 - 0.98**2) * z
+
+
+@pytest.mark.parametrize("dim", [2, 3, 4, 5, 7, 8, 12, 16, 31, 32, 64, 256])
+def test_caps_of_any_dimension_find_pairs_and_stay_small(dim):
+    x, y = near_pairs(dim, 300)
+    found = []
+    for a, b in ((x, y), (y, x)):
+        row, direction, _ = E.decode_caps(a, E.depth(E.REACH, dim))
+        caps = set(zip(row.tolist(), direction.tolist(), strict=True))
+        found.append([(i, d) in caps for i, d in enumerate(E.best_directions(b).tolist())])
+        assert len(row) / len(a) < 2000
+    assert np.logical_or(*found).mean() > 0.99
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 4, 8])
+def test_few_dimensions(spark, dim):
+    rows = vectors(4, dim)[:150]
+    got = E.embedding_dedup(spark.createDataFrame(rows, VEC)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_links(rows)
+
+
+def test_all_64_bit_ids_and_rows_without(spark):
+    rows = vectors(5)[:120]
+    wide = [-(1 << 63), (1 << 63) - 1, 1 << 62, 0]
+    rows = [(wide[i] if i < 4 else k, v, y) for i, (k, v, y) in enumerate(rows)]
+    got = E.embedding_dedup(spark.createDataFrame(rows, VEC)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_links(rows)
+    some = [(None, v, y) if i % 3 == 0 else (k, v, y) for i, (k, v, y) in enumerate(rows)]
+    links = sorted(r.n_links for r in E.embedding_dedup(spark.createDataFrame(some, VEC)).collect())
+    assert links == sorted(n for n, _ in brute_links(rows).values())
+
+
+def test_text_labels(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "b"), (3, [1.0, 0.01], "a"), (4, [1.0, 0.0], None)]
+    got = E.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4)}

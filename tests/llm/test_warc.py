@@ -56,3 +56,24 @@ def test_damage_is_found():
 
 def test_empty_table(spark):
     assert W.warc_round_trip(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_no_whole_payload_is_moved(spark):
+    """Above the scan every exchange of the plan carries chunk rows."""
+    pages = spark.createDataFrame([(i, f"http://{i}/", "y" * 5000 + str(i % 3)) for i in range(12)], PAGE)
+    rows = W.archive_rows(pages, "page_id", "url", "html", 0, 1000)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "payload" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    assert plan.index("SortMergeJoin") < plan.index("Generate explode")
+    held = rows.collect()
+    assert max(len(r.bytes) for r in held if r.last_chunk) < 2000 and len(held) == 9 + 3 * 6
+
+
+def test_the_archive_is_deleted(spark):
+    import glob
+
+    from boundwell.llm.runtime import use_checkpoint_dir
+
+    pages = spark.createDataFrame(ROWS, PAGE)
+    assert W.warc_round_trip(pages).count() == len(ROWS)
+    assert not glob.glob(f"{use_checkpoint_dir(spark).removeprefix('file:')}/warc-*")
