@@ -68,7 +68,12 @@ def absolute_error(decoded: Column, x: Column) -> Column:
     return F.abs(decoded.cast("double") - x.cast("double"))
 
 
-def over(error: Column, bound: float) -> Column:
+def log_as_relative(error: Column) -> Column:
+    """An error of a logarithm as the relative error that it stands for."""
+    return F.expm1(error)
+
+
+def over(error: Column, bound: float | Column) -> Column:
     """Strictly over the bound, or not a number."""
     return F.isnan(error) | (error > bound)
 

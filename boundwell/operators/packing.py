@@ -1,7 +1,8 @@
 """Packed windows: one row of compressed byte strings per window, and back.
 
-A window is packed from its rows in order, in one task, as a stream of Arrow batches; its memory is the window's codes. Each stream
-is compressed on its own.  Tables of chunks are stored as Parquet, whose footers prune windows and columns.
+A window is encoded and packed in one task from its blocks, in place; its memory is the window's values and codes. Each stream is compressed
+on its own.  A chunk carries the run's settings and, where they don't simply count from 0, its values' places, so that it can be decoded and verified
+without anything else.  Tables of chunks are stored as Parquet, whose footers prune windows and columns.
 """
 
 from __future__ import annotations
@@ -11,19 +12,39 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boundwell.operators.blocks import blocks, gathered, windows
+
+TRIAL = pa.struct([("k", pa.int32()), ("est_bytes", pa.float64()), ("max_error", pa.float64()), ("mean_error", pa.float64())])
 CHUNK = (
     "w long, mode string, error_mode string, k int, tuple_size int, n_values long, step double, labels_itemsize int, centroids binary, "
-    "labels_blob binary, code_plane_blobs array<binary>, sign_blob binary, outlier_idx_blob binary, outlier_val_blob binary, n_outliers long"
+    "labels_blob binary, code_plane_blobs array<binary>, sign_blob binary, outlier_idx_blob binary, outlier_val_blob binary, n_outliers long, "
+    "places_blob binary, window_values long, error_bound double, max_error double, mean_error double, search_error double, trials array<struct<k:int,est_bytes:double,max_error:double,mean_error:double>>"
 )
 CHUNK_TYPES = {
     "w": pa.int64(), "mode": pa.string(), "error_mode": pa.string(), "k": pa.int32(), "tuple_size": pa.int32(), "n_values": pa.int64(), "step": pa.float64(), "labels_itemsize": pa.int32(), "centroids": pa.binary(),
     "labels_blob": pa.binary(), "code_plane_blobs": pa.list_(pa.binary()), "sign_blob": pa.binary(), "outlier_idx_blob": pa.binary(), "outlier_val_blob": pa.binary(), "n_outliers": pa.int64(),
+    "places_blob": pa.binary(), "window_values": pa.int64(), "error_bound": pa.float64(), "max_error": pa.float64(), "mean_error": pa.float64(), "search_error": pa.float64(), "trials": pa.list_(TRIAL),
 }
 
 
+def pack_places(places: np.ndarray, level: int) -> bytes:
+    """The places of a window's values as compressed distances, the first from 0; nothing where they count from 0."""
+    if np.array_equal(places, np.arange(len(places))):
+        return b""
+    return zstandard.ZstdCompressor(level=level).compress(np.diff(places, prepend=0).astype("<u8").tobytes())
+
+
+def places_of(chunk: dict) -> np.ndarray:
+    """Where a chunk's values stand in its window."""
+    blob = chunk.get("places_blob")
+    if not blob:
+        return np.arange(chunk["n_values"])
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 34), "<u8").astype(np.int64))
+
+
 def narrow(labels: np.ndarray, k: int) -> np.ndarray:
     return labels.astype("<u1" if k <= 1 << 8 else "<u2" if k <= 1 << 16 else "<u4")
 
@@ -75,88 +96,72 @@ def unpack_window(chunk: dict, exact_float_log: bool = False) -> np.ndarray:
     return out
 
 
-def by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """One table for each window of rows sorted by w."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        w = batch.column("w").to_numpy()
-        edges = [0, *(np.flatnonzero(w[1:] != w[:-1]) + 1).tolist(), len(w)]
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            if held and held[0].column("w")[0].as_py() != w[lo]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def pack_clusters(encoded: DataFrame, level: int = 3) -> DataFrame:
-    """CHUNK rows of cluster-mode windows (w, i, x, cell, c, esc)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_window(batches):
-            cell, x, c, esc = (table.column(n).to_numpy() for n in ("cell", "x", "c", "esc"))
-            _, first, labels = np.unique(cell, return_index=True, return_inverse=True)
-            at = np.flatnonzero(esc)
-            row = pack_window(table.column("w")[0].as_py(), "cluster", "relative", c[first].reshape(-1, 1), labels, x < 0, None, 0.0, at, x[at], 1, len(x), level)
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema(CHUNK_TYPES))
-
-    rows = encoded.select("w", "i", "x", "cell", "c", "esc").repartition("w").sortWithinPartitions("w", "i")
-    return rows.mapInArrow(run, CHUNK)
-
-
-def pack_residuals(quantized: DataFrame, relative: bool, mode: str = "residual", level: int = 3) -> DataFrame:
-    """CHUNK rows of windows (w, i, x, pred, step, z, esc) whose prediction is one of few values; tuples of size 1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_window(batches):
-            x, pred, z, esc = (table.column(n).to_numpy() for n in ("x", "pred", "z", "esc"))
-            book, labels = np.unique(pred, return_inverse=True)
-            at = np.flatnonzero(esc)
-            step = float(table.column("step")[0].as_py())
-            row = pack_window(table.column("w")[0].as_py(), mode, "relative" if relative else "absolute", book.reshape(-1, 1), labels, x < 0 if relative else None, z.astype(np.uint32), step, at, x[at], 1, len(x), level)
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema(CHUNK_TYPES))
-
-    rows = quantized.select("w", "i", "x", "pred", "step", "z", "esc").repartition("w").sortWithinPartitions("w", "i")
-    return rows.mapInArrow(run, CHUNK)
-
-
 def unpack(chunks: DataFrame, exact_float_log: bool = False) -> DataFrame:
     """(w, i, x) of all windows of CHUNK rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in batch.to_pylist():
-                x = unpack_window(chunk, exact_float_log)
+                x, i = unpack_window(chunk, exact_float_log), places_of(chunk)
                 for lo in range(0, len(x), 1 << 20):
-                    part = x[lo : lo + (1 << 20)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk["w"])), pa.array(np.arange(lo, lo + len(part))), pa.array(part)], ["w", "i", "x"])
+                    part = slice(lo, lo + (1 << 20))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x[part]), chunk["w"])), pa.array(i[part]), pa.array(x[part])], ["w", "i", "x"])
 
     return chunks.mapInArrow(run, "w long, i long, x float")
 
 
-def chunk_bytes(chunks: DataFrame) -> DataFrame:
-    """(w, k, n_values, n_outliers and the byte counts of sizes.PARTS). Signs are counted with the outliers."""
+def chunk_bytes(chunks: DataFrame, *more) -> DataFrame:
+    """(w, k, n_values, n_outliers, the byte counts of sizes.PARTS, and more columns). Signs and places are counted with the outliers."""
     length = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
     planes = F.aggregate("code_plane_blobs", F.lit(0).cast("long"), lambda n, b: n + F.length(b))
     return chunks.select(
-        "w", "k", "n_values", "n_outliers", length("centroids").alias("codebook_bytes"), length("labels_blob").alias("label_bytes"), planes.alias("code_bytes"), (length("sign_blob") + length("outlier_idx_blob") + length("outlier_val_blob")).alias("outlier_bytes")
+        "w", "k", "n_values", "n_outliers", length("centroids").alias("codebook_bytes"), length("labels_blob").alias("label_bytes"), planes.alias("code_bytes"), (length("sign_blob") + length("outlier_idx_blob") + length("outlier_val_blob") + length("places_blob")).alias("outlier_bytes"), *more
     )
 
 
+def _lossless_bytes(raw: bytes, level: int) -> tuple[int, int, int]:
+    """Bytes as they are, compressed, and compressed as four planes of every fourth byte (a rest of less than four is left out of these)."""
+    squeeze = zstandard.ZstdCompressor(level=level).compress
+    split = np.frombuffer(raw, np.uint8)[: len(raw) // 4 * 4].reshape(-1, 4)
+    return len(raw), len(squeeze(raw)), sum(len(squeeze(np.ascontiguousarray(split[:, p]).tobytes())) for p in range(4))
+
+
+LOSSLESS = ("raw_bytes", "plain_bytes", "planes_bytes")
+
+
+def _lossless_sum(sizes: DataFrame) -> DataFrame:
+    return sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in LOSSLESS))
+
+
+def _lossless_batch(sizes: tuple[int, int, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in sizes], list(LOSSLESS))
+
+
 def lossless(stream: DataFrame, level: int = 3, rows_per_block: int = 1 << 20) -> DataFrame:
     """One row (raw_bytes, plain_bytes, planes_bytes): size of the float32 stream compressed as it is, and split into its four byte planes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=level).compress
-        for table in by_window(batches):
-            x = table.column("x").to_numpy().astype("<f4")
-            split = x.view(np.uint8).reshape(-1, 4)
-            planes = sum(len(squeeze(np.ascontiguousarray(split[:, p]).tobytes())) for p in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array([x.nbytes]), pa.array([len(squeeze(x.tobytes()))]), pa.array([planes])], ["raw_bytes", "plain_bytes", "planes_bytes"])
-
-    blocks = stream.select(F.floor(F.col("pos") / rows_per_block).cast("long").alias("w"), "pos", "x").repartition("w").sortWithinPartitions("w", "pos")
-    sizes = blocks.mapInArrow(run, "raw_bytes long, plain_bytes long, planes_bytes long")
-    return sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("raw_bytes", "plain_bytes", "planes_bytes")))
+        for _, _, x in windows(batches):
+            yield _lossless_batch(_lossless_bytes(x.astype("<f4").tobytes(), level))
+
+    return _lossless_sum(gathered(blocks(stream, rows_per_block)).mapInArrow(run, ", ".join(f"{c} long" for c in LOSSLESS)))
+
+
+def lossless_file(spark: SparkSession, path: str, limit: int | None = None, level: int = 3, piece: int = 64 << 20) -> DataFrame:
+    """The same of a file's own bytes after its header, in the width that it stores, up to limit; pieces are read and compressed by different tasks."""
+    from boundwell.sources.tensors import data_range, opened
+
+    start, stop = data_range(path)
+    stop = stop if limit is None else min(stop, start + limit)
+    cuts = list(range(start, stop, piece))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column("at").to_pylist():
+                f, _ = opened(path)
+                with f:
+                    f.seek(at)
+                    yield _lossless_batch(_lossless_bytes(f.read(min(piece, stop - at)), level))
+
+    parts = spark.createDataFrame([(a,) for a in cuts], "at long").repartition(max(1, len(cuts)), "at")
+    return _lossless_sum(parts.mapInArrow(run, ", ".join(f"{c} long" for c in LOSSLESS)))

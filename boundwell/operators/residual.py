@@ -65,9 +65,20 @@ def overflow(codes: DataFrame) -> DataFrame:
 
 
 def choose_width(codes: DataFrame, n_values: int | None = None) -> DataFrame:
-    """(w, width, cost): the number of planes whose coded bytes and escapes cost least; the smallest of equals."""
-    bits = plane_entropy(plane_histogram(codes, n_values)).groupBy("w").agg(*(F.max(F.when(F.col("plane") == p, F.col("bits"))).alias(f"h{p}") for p in range(4)))
-    both = bits.join(overflow(codes), "w")
+    """(w, width, cost): the number of planes whose coded bytes and escapes cost least; the smallest of equals.
+
+    One pass over the codes: words are counted first, all and those of the sample, and bytes and overflow come from the words.
+    """
+    stride = max(1, (n_values or 0) // PLANE_SAMPLE)
+    words = codes.groupBy("w", "z").agg(F.count("*").alias("m"), F.count_if(F.col("i") % stride == 0).alias("s"))
+    planes = words.select("w", "z", "m", "s", F.posexplode(S.split_planes(F.col("z"))).alias("plane", "byte"))
+    beyond = F.when(F.col("plane") == 0, F.col("z") >= 1 << 8).when(F.col("plane") == 1, F.col("z") >= 1 << 16).when(F.col("plane") == 2, F.col("z") >= 1 << 24).otherwise(F.lit(False))
+    bins = planes.groupBy("w", "plane", "byte").agg(F.sum("s").alias("s"), F.sum("m").alias("m"), F.coalesce(F.sum(F.when(beyond, F.col("m"))), F.lit(0)).alias("over"))
+    some = F.count_if(F.col("s") > 0)
+    bits = F.when(some <= 1, F.lit(0.0)).otherwise(F.log2(F.sum("s").cast("double")) - F.sum(F.when(F.col("s") > 0, F.col("s") * F.log2(F.col("s").cast("double")))) / F.sum("s"))
+    each = bins.groupBy("w", "plane").agg(bits.alias("bits"), F.sum("m").alias("n"), F.sum("over").alias("over"))
+    own = lambda c, p: F.max(F.when(F.col("plane") == p, F.col(c)))
+    both = each.groupBy("w").agg(F.max("n").alias("n"), *(own("bits", p).alias(f"h{p}") for p in range(4)), *(own("over", p).alias(f"over{p + 1}") for p in range(3)))
     costs, sum_ = [], F.lit(0.0)
     for k in (1, 2, 3, 4):
         sum_ = sum_ + F.col(f"h{k - 1}") * F.col("n") / 8

@@ -55,6 +55,11 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return out.withColumns({"ratio": S.ratio(F.col("raw_bytes"), F.col("stored_bytes")), "bits_per_value": S.bits_per_value(F.col("stored_bytes"), F.col("n_values"))})
 
 
+def shares(stats: DataFrame) -> DataFrame:
+    """stats with the percentage that each of PARTS has of the stored bytes."""
+    return stats.withColumns({p.replace("_bytes", "_share"): 100 * F.col(p) / F.greatest("stored_bytes", F.lit(1)) for p in PARTS})
+
+
 def run_stats(stats: DataFrame) -> DataFrame:
     """One row over all windows of chunk_stats: sums, worst error, ratio, bits per value and the range of occupied clusters."""
     total = stats.agg(

@@ -5,8 +5,9 @@ A stream is a DataFrame (pos long, x float). Order is the explicit pos, never th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,9 @@ from boundwell.functions import scalar as S
 
 
 def flat_arrays(rows: DataFrame, id_col: str, array_col: str, size: int) -> DataFrame:
-    """Arrays of `size` numbers each, end to end in order of the id."""
-    one = rows.select(F.col(id_col).cast("long").alias("id"), F.posexplode(array_col).alias("at", "v"))
+    """Arrays of up to `size` numbers each, by the id: a shorter one leaves a gap, a longer one is refused. Nulls are not values of a stream."""
+    fits = F.when(F.size(array_col) > size, F.raise_error(F.lit(f"an array has more than {size} values"))).otherwise(F.col(array_col))
+    one = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(fits).alias("at", "v")).where("v is not null")
     return one.select((F.col("id") * size + F.col("at")).alias("pos"), S.widen(F.col("v")).alias("x"))
 
 
@@ -66,13 +68,38 @@ def pack_signs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("w", F.floor(F.col("i") / 8).cast("long").alias("byte")).agg(F.sum(bit).cast("int").alias("bits"))
 
 
+#: Values of a slice of a restored tensor, and of the grain by which values meet their tensors.
+SLICE_VALUES = 1 << 16
+
+
 def restore(stream: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(name, shape, values): the stream's values by tensor, flat in order; tensors that it doesn't hold whole are left out.
+    """(name, shape, offset, numel, first, values): the stream's values by tensor, in slices that begin at the place `first` of the tensor.
 
-    manifest: name, shape, offset, numel. The stream meets it by ranges of a fixed size, so that this is an equi-join.
+    Tensors that the stream doesn't hold whole are left out; empty ones that begin inside it are one empty slice. manifest: name, shape,
+    offset, numel. The stream meets it by grains of a fixed size, so that this is an equi-join, and no row grows with a tensor.
     """
-    grain = 1 << 16
-    spans = manifest.where("numel > 0").select("name", "shape", "offset", "numel", F.explode(F.sequence(F.floor(F.col("offset") / grain), F.floor((F.col("offset") + F.col("numel") - 1) / grain))).alias("grain"))
-    placed = stream.select("pos", "x").withColumn("grain", F.floor(F.col("pos") / grain)).join(spans, "grain").where("pos >= offset and pos < offset + numel")
-    whole = placed.groupBy("name", "shape", "offset", "numel").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
-    return whole.where(F.size("v") == F.col("numel")).select("name", "shape", "offset", F.transform("v", lambda e: e["x"]).alias("values"))
+    grain = SLICE_VALUES
+    held = manifest.where("numel > 0").select("name", "shape", "offset", "numel", F.explode(F.sequence(F.floor(F.col("offset") / grain), F.floor((F.col("offset") + F.col("numel") - 1) / grain))).alias("grain"))
+    placed = stream.select("pos", "x").withColumn("grain", F.floor(F.col("pos") / grain)).join(held, "grain").where("pos >= offset and pos < offset + numel")
+    keys = ("name", "shape", "offset", "numel")
+    slices = placed.groupBy(*keys, "grain").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
+    whole = slices.groupBy("name", "offset").agg(F.sum(F.size("v")).alias("held")).select(F.col("name").alias("_name"), F.col("offset").alias("_offset"), "held")
+    full = slices.join(whole, (F.col("name") == F.col("_name")) & (F.col("offset") == F.col("_offset"))).where("held = numel")
+    told = full.select(*keys, (F.col("v")[0]["pos"] - F.col("offset")).alias("first"), F.transform("v", lambda e: e["x"]).alias("values"))
+    end = stream.agg((F.max("pos") + 1).alias("end"))  # one row
+    empty = manifest.where("numel = 0").join(end, F.col("offset") < F.col("end")).select(*keys, F.lit(0).cast("long").alias("first"), F.array().cast("array<float>").alias("values"))
+    return told.unionByName(empty)
+
+
+def restored_arrays(slices: DataFrame) -> Iterator[tuple[str, np.ndarray]]:
+    """(name, array of the tensor's shape) of restored slices, one tensor in memory at a time."""
+    key, parts = None, []
+    for row in slices.orderBy("offset", "name", "first").toLocalIterator():
+        own = (row["name"], tuple(row["shape"]))
+        if own != key and parts:
+            yield key[0], np.concatenate(parts).reshape(key[1])
+            parts = []
+        key = own
+        parts.append(np.array(row["values"], np.float32))
+    if parts:
+        yield key[0], np.concatenate(parts).reshape(key[1])

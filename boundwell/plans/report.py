@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boundwell.config import VALUE_BYTES, Config, power_label
-from boundwell.operators import packing, sizes, verify
-from boundwell.operators.stream import windowed
-from boundwell.plans.compress import compress, stats, sweep
+from boundwell.operators import packing, sizes
+from boundwell.plans.compress import compress, stats, sweep, verify_chunks
+from boundwell.sources.tensors import exists, read_stream
 
 
 def summary(swept: DataFrame) -> DataFrame:
@@ -28,15 +29,22 @@ def sweep_summary(rows: DataFrame, bounds: Sequence[float]) -> DataFrame:
 
 
 def experiment(name: str, stream: DataFrame, cfg: Config, source_bytes: int | None = None) -> DataFrame:
-    """One row: a run's sizes and its verification, value by value. source_bytes: size of the source, where its values are narrower or wider than floats."""
+    """One row: a run's sizes and its verification, value by value. source_bytes: size of the source, where its values are narrower or wider than floats.
+
+    The run is made and checked here, and its chunks are released.
+    """
+    spark = stream.sparkSession
     chunks = compress(stream, cfg).persist()
-    total = sizes.run_stats(stats(chunks)).drop("max_error")
-    rows = windowed(stream.select("pos", "x"), cfg.values_per_window)
-    checked = verify.verdict(verify.compare(rows, packing.unpack(chunks), cfg.error_mode == "relative"), cfg.error_bound).select("max_error", "violations", "passed")
-    source = F.lit(source_bytes) if source_bytes is not None else F.col("n_values") * VALUE_BYTES
-    one = total.join(checked, F.lit(True))  # two one-row tables
-    settings = {"name": name, "mode": cfg.mode, "error_mode": cfg.error_mode, "error_bound": cfg.error_bound}
-    return one.select(*(F.lit(v).alias(k) for k, v in settings.items()), "*", source.cast("long").alias("source_bytes")).withColumn("source_ratio", F.col("source_bytes") / F.greatest(F.col("stored_bytes"), F.lit(1)))
+    try:
+        total = sizes.run_stats(stats(chunks)).drop("max_error").first().asDict()
+        checked = verify_chunks(stream, chunks, cfg).select("max_error", "violations", "unmatched", "passed").first().asDict()
+    finally:
+        chunks.unpersist()
+    row = {"name": name, "mode": cfg.mode, "error_mode": cfg.error_mode, "error_bound": cfg.error_bound} | total | checked
+    row["source_bytes"] = row["n_values"] * VALUE_BYTES if source_bytes is None else source_bytes
+    row["source_ratio"] = row["source_bytes"] / max(1, row["stored_bytes"])
+    kinds = {str: "string", float: "double", bool: "boolean"}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds.get(type(v), 'long')}" for k, v in row.items()))
 
 
 def experiments(stream: DataFrame, runs: dict[str, Config], source_bytes: int | None = None) -> DataFrame:
@@ -44,6 +52,30 @@ def experiments(stream: DataFrame, runs: dict[str, Config], source_bytes: int |
     return reduce(DataFrame.unionByName, (experiment(n, stream, c, source_bytes) for n, c in runs.items()))
 
 
+#: Bounds of the group "bound".
+BOUNDS = (1e-2, 1e-3, 1e-4, 1e-5, 1e-6)
+
+
+def planned(models: dict[str, str], groups: Sequence[str] = ("models", "bound", "compare"), limit: int = 256 << 20, base: Config = Config()) -> list[tuple[str, str, Config, int | None]]:
+    """(name, path, settings, bytes to read) of the runs of some groups: every model that exists, its first at several bounds, and its first in each mode."""
+    there = {n: p for n, p in models.items() if exists(p)}
+    if not there:
+        return []
+    one = next(iter(there.values()))
+    of = {
+        "models": [(f"model-{n}", p, base, None) for n, p in there.items()],
+        "bound": [(f"bound-{b:.0e}", one, replace(base, error_bound=b), limit) for b in BOUNDS],
+        "compare": [("method-cluster", one, base, limit), ("method-residual", one, replace(base, mode="residual"), limit), ("method-vq", one, replace(base, mode="vq", k_start=256, max_k=256), limit)],
+    }
+    return [run for g in groups for run in of[g]]
+
+
+def run_planned(spark: SparkSession, plan: Sequence[tuple[str, str, Config, int | None]], dtype: str = "float32") -> Iterator[DataFrame]:
+    """Each planned run's row, when it is done."""
+    for name, path, cfg, limit in plan:
+        yield experiment(name, read_stream(spark, path, dtype, limit), cfg)
+
+
 def write_results(rows: DataFrame, path: str) -> None:
     """Append experiment rows as JSON lines."""
     rows.write.mode("append").json(path)

@@ -5,16 +5,23 @@ The weight stream is `embeddings` end to end: 64 values a vector, windows of 819
 
 from __future__ import annotations
 
+import contextlib
+import io
 import math
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boundwell.config import CODE_MAX, Config
+from boundwell.config import CODE_MAX, VALUE_BYTES, Config
 from boundwell.functions import scalar as S
-from boundwell.operators import cluster, kmeans, packing, residual, sizes, stream, verify
+from boundwell.operators import blocks, cluster, kmeans, packing, residual, sizes, stream, verify
+from boundwell.plans import compress as plans
 from boundwell.plans import report
+from boundwell.shared import scratch
+from boundwell.sources import container, tensors
 
 DIM, VPW, EB = 64, 8192, 1e-4
 BOUNDS = (1e-2, 1e-3, 1e-4, 1e-5, 1e-6)
@@ -77,19 +84,13 @@ def q_limit_prefix(spark, sf_dir):
     return stream.limit_values(flat(spark, sf_dir), 4000)
 
 
-def q_concat_streams(spark, sf_dir):
-    a = stream.limit_values(flat(spark, sf_dir), 4 * 500)
-    b = stream.limit_values(stream.flat_column(_table(spark, sf_dir, "events"), "event_id", "value"), 4 * 300)
-    return stream.concat([(a, 500), (b, 300)])
-
-
 def _length(values: DataFrame) -> int:
     """Values of a stream, by its last place."""
     return values.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
 
 
 def q_concat_whole(spark, sf_dir):
-    """Both streams of concat_streams without a limit, with lengths taken from the data."""
+    """The vectors and the events end to end, with lengths taken from the data."""
     both = [flat(spark, sf_dir), stream.flat_column(_table(spark, sf_dir, "events"), "event_id", "value")]
     return stream.concat([(s, _length(s)) for s in both])
 
@@ -129,7 +130,7 @@ def q_cluster_codebook(spark, sf_dir):
 def q_cluster_decode(spark, sf_dir):
     e = encoded(spark, sf_dir)
     book = cluster.codebook(e)
-    return cluster.decode(cluster.labelled(e, book), book, cluster.escapes(e))
+    return cluster.decode(cluster.labelled(e, book), book)
 
 
 def _stats(e: DataFrame) -> DataFrame:
@@ -161,12 +162,12 @@ def q_escape_zeros(spark, sf_dir):
 
 
 def q_bound_sweep(spark, sf_dir):
-    rows = rows_of(spark, sf_dir)
-    each = [cluster.window_stats(cluster.encode(rows, b)).select(F.lit(n).alias("exponent"), "w", "k", "occupied", "n_escapes") for n, b in zip((2, 3, 4, 5, 6), BOUNDS, strict=True)]
-    out = each[0]
-    for e in each[1:]:
-        out = out.unionByName(e)
-    return out
+    exponent = F.round(-F.log10("bound")).cast("int").alias("exponent")
+    return plans.sweep(rows_of(spark, sf_dir), BOUNDS).select(exponent, "w", "k", "occupied", "n_escapes")
+
+
+def q_log_error(spark, sf_dir):
+    return cluster.log_error(encoded(spark, sf_dir)).select("w", F.round("log_error", 9).alias("log_error"), F.round("as_relative", 9).alias("as_relative"))
 
 
 def q_cluster_verify(spark, sf_dir):
@@ -309,16 +310,11 @@ def _manifest(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.array(F.lit(DIM)).alias("shape"), (F.col("vec_id") * DIM).alias("offset"), F.lit(DIM).alias("numel"))
 
 
-def q_restore(spark, sf_dir):
-    whole = stream.restore(flat(spark, sf_dir).where("pos < 6400 + 10"), _manifest(spark, sf_dir))
-    return whole.select("name", "offset", F.posexplode("values").alias("place", "x"))
-
-
 def q_restore_whole(spark, sf_dir):
     """Every tensor of the stream but the last, which lacks the stream's last value and so is left out."""
     values = flat(spark, sf_dir)
     whole = stream.restore(values.where(F.col("pos") < _length(values) - 1), _manifest(spark, sf_dir))
-    return whole.select("name", "offset", F.posexplode("values").alias("place", "x"))
+    return whole.select("name", "offset", "first", F.posexplode("values").alias("at", "x")).select("name", "offset", (F.col("first") + F.col("at")).cast("int").alias("place"), "x")
 
 
 def q_run_stats(spark, sf_dir):
@@ -336,15 +332,211 @@ def q_experiment_summary(spark, sf_dir):
     return s.select(F.round(-F.log10("bound")).cast("int").alias("exponent"), "windows", "n_values", "k", "occupied", "n_outliers", F.round("max_error", 9).alias("max_error"), F.round("mean_error", 9).alias("mean_error"))
 
 
+def _positions(rows: DataFrame) -> DataFrame:
+    return rows.select((F.col("w") * VPW + F.col("i")).alias("pos"), "x")
+
+
+def _run(mode: str = "cluster", error_mode: str = "relative", **more) -> Config:
+    """Settings of the test runs: windows of VPW values."""
+    return Config(**{"error_bound": EB, "error_mode": error_mode, "mode": mode, "window_bytes": VPW * VALUE_BYTES} | more)
+
+
 def q_pack_roundtrip(spark, sf_dir):
     """Pack and unpack give the decoded stream."""
-    return packing.unpack(packing.pack_clusters(encoded(spark, sf_dir, zeros)))
+    return packing.unpack(plans.compress(_positions(zeros(spark, sf_dir)), _run()))
 
 
 def q_pack_residual_roundtrip(spark, sf_dir):
-    r = _residual(spark, sf_dir, False, zeros)
-    back = packing.unpack(packing.pack_residuals(r, False))
-    return verify.verdict(verify.compare(zeros(spark, sf_dir), back, False), EB).select("n_values", "n_windows", "violations", "passed")
+    values = _positions(zeros(spark, sf_dir))
+    chunks = plans.compress(values, _run("residual", "absolute", tuple_size=1, k_start=1, max_k=1))
+    return plans.verify_chunks(values, chunks).select("n_values", "n_windows", "violations", "passed")
+
+
+def gappy(spark, sf_dir) -> DataFrame:
+    """The weight stream without every fifth value, with the null of every eleventh left to the reader, and with far gaps."""
+    values = flat(spark, sf_dir).where("pos % 5 <> 3").withColumn("x", F.when(F.col("pos") % 11 != 0, F.col("x")))
+    return values.withColumn("pos", F.col("pos") + 3 * VPW * F.floor(F.col("pos") / 4096))
+
+
+def q_compress_roundtrip(spark, sf_dir):
+    """A stream with gaps and nulls, compressed and decompressed: values and places; residual mode decodes within the bound, so values are told by whether they are."""
+    values = gappy(spark, sf_dir)
+    back = plans.decompress(plans.compress(values, _run("residual", "absolute", k_start=4, max_k=4, kmeans_iters=3)))
+    both = back.withColumnRenamed("x", "y").join(values, "pos")
+    return both.select("pos", "x", (F.abs(F.col("y").cast("double") - F.col("x").cast("double")) <= EB).alias("held"))
+
+
+def q_verify_run(spark, sf_dir):
+    """Verification of whole runs: one that holds, one of which a window is missing, one that lacks values, one with a changed codebook, and one with values that the source lacks."""
+    values = gappy(spark, sf_dir)
+    chunks = plans.compress(values, _run())
+    runs = {
+        "whole": (values, chunks),
+        "window lost": (values, chunks.where("w <> 3")),
+        "values lost": (values, plans.compress(values.where("pos % 7 <> 1"), _run())),
+        "other values": (values.withColumn("x", F.col("x") * 2), chunks),
+        "source lacks": (values.where("pos % 7 <> 1"), chunks),
+    }
+    out = [plans.verify_chunks(v, c).select(F.lit(n).alias("run"), "n_values", "violations", "unmatched", "passed") for n, (v, c) in runs.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+def q_vq_chunks(spark, sf_dir):
+    """Shape of vq chunks: a label for each tuple of two, four centroids of two values, no codes, signs or escapes."""
+    chunks = plans.compress(flat(spark, sf_dir), _run("vq", "absolute", k_start=4, max_k=4, kmeans_iters=2))
+    return chunks.select("w", "mode", "k", "tuple_size", "n_values", F.length("centroids").alias("centroid_bytes"), F.size("code_plane_blobs").alias("planes"), F.length("sign_blob").alias("sign_bytes"), "n_outliers", "step", "window_values")
+
+
+def q_residual_tuples(spark, sf_dir):
+    """Residual chunks over tuples of three, by window: settings, and that every value holds."""
+    values = flat(spark, sf_dir)
+    chunks = plans.compress(values, _run("residual", "relative", tuple_size=3, k_start=4, max_k=4, kmeans_iters=2))
+    held = chunks.select("w", "k", "tuple_size", "n_values", F.length("centroids").alias("centroid_bytes"), (F.col("max_error") <= EB).alias("held"), "error_bound", "window_values")
+    worst = verify.check_windows(blocks.blocks(values, VPW), chunks, True, EB).select(F.col("w").alias("_w"), "bad", "unmatched")
+    return held.join(worst, F.col("w") == F.col("_w")).drop("_w")
+
+
+def q_window_report(spark, sf_dir):
+    """The report of each window of a cluster run."""
+    told = plans.stats(plans.compress(flat(spark, sf_dir), _run()))
+    whole = F.round(F.col("codebook_share") + F.col("label_share") + F.col("code_share") + F.col("outlier_share"), 6)
+    return told.select("w", "mode", "occupied", "n_values", "raw_bytes", "codebook_bytes", "n_outliers", F.round("max_error", 9).alias("max_error"), F.round("mean_error", 9).alias("mean_error"), "trials", whole.alias("share"))
+
+
+def _folder(spark, kind: str) -> str:
+    """A new folder in the shared one, for the files that a query writes and reads."""
+    path = scratch(spark, f"query-{kind}")
+    where = re.sub("^file:/+", "/", path)
+    tensors.make_folder(where)
+    return where
+
+
+def _filed(spark, sf_dir, kind: str) -> str:
+    """The weight stream as a folder of files of VPW values."""
+    path = _folder(spark, kind)
+    stream_of = flat(spark, sf_dir)
+    tensors.write_files(stream_of, path, VPW, kind).write.format("noop").mode("overwrite").save()
+    return path
+
+
+def q_read_npy(spark, sf_dir):
+    return tensors.read_stream(spark, _filed(spark, sf_dir, "npy")).select("pos", "x")
+
+
+def q_read_safetensors(spark, sf_dir):
+    return tensors.read_stream(spark, _filed(spark, sf_dir, "safetensors")).select("name", "pos", "x")
+
+
+def q_read_raw(spark, sf_dir):
+    return tensors.read_stream(spark, _filed(spark, sf_dir, "bin"), "<f4").select("pos", "x")
+
+
+def q_read_windows(spark, sf_dir):
+    """Windows that don't fall on the files' edges, as blocks."""
+    found = tensors.read_windows(spark, _filed(spark, sf_dir, "npy"), 5000)
+    return found.select("w", F.lit(0).cast("long").alias("zero"), "first", F.length("data").alias("bytes")).groupBy("w").agg(F.min("first").alias("first"), F.sum("bytes").alias("bytes"))
+
+
+def q_write_files(spark, sf_dir):
+    return tensors.write_files(flat(spark, sf_dir), _folder(spark, "files"), VPW, "npy")
+
+
+def q_file_manifest(spark, sf_dir):
+    return tensors.manifest(spark, _filed(spark, sf_dir, "safetensors")).select("name", "dtype", "offset", "numel", "itemsize")
+
+
+def q_write_flat(spark, sf_dir):
+    """The whole stream as one flat array file, read again."""
+    path = f"{_folder(spark, 'flat')}/all.npy"
+    tensors.write_npy(flat(spark, sf_dir), path)
+    return tensors.read_stream(spark, path).select("pos", "x")
+
+
+def q_container_roundtrip(spark, sf_dir):
+    """Chunks of a file written as one container and read back: decoded values."""
+    path = f"{_folder(spark, 'container')}/run.wp"
+    container.write_container(plans.compress(_positions(zeros(spark, sf_dir)), _run()), path, {"mode": "cluster"})
+    return plans.decompress(container.read_container(spark, path))
+
+
+def q_container_footer(spark, sf_dir):
+    """The container's own index of its windows."""
+    path = f"{_folder(spark, 'footer')}/run.wp"
+    container.write_container(plans.compress(_positions(zeros(spark, sf_dir)), _run()), path, {"mode": "cluster"})
+    footer = container.read_footer(path)
+    rows = [(e["index"], e["n_values"], e["n_outliers"], e["tuple_size"], footer["window_size"], footer["error_bound"]) for e in footer["chunks"]]
+    return spark.createDataFrame(rows, "w long, n_values long, n_outliers long, tuple_size int, window_size long, error_bound double")
+
+
+def q_file_run(spark, sf_dir):
+    """A folder of files compressed by windows, stored, read by window and verified against the files."""
+    path, cfg = _filed(spark, sf_dir, "npy"), _run()
+    target = _folder(spark, "run")
+    plans.write_run(plans.compress_file(spark, path, cfg), target)
+    chunks = plans.read_run(spark, target)
+    checked = plans.verify_chunks(None, chunks, source=tensors.read_windows(spark, path, VPW))
+    return checked.withColumn("max_error", F.round("max_error", 9))
+
+
+def q_codebook_tables(spark, sf_dir):
+    """The codebooks of a run, stored apart by window."""
+    target = _folder(spark, "books")
+    plans.write_codebooks(plans.compress(flat(spark, sf_dir), _run()), target)
+    return spark.read.parquet(f"{target}/codebooks").select(F.col("w").cast("long").alias("w"), "k", "tuple_size", F.length("centroids").alias("centroid_bytes"))
+
+
+def q_command_line(spark, sf_dir):
+    """compress, verify and decompress by the command line: exit codes, and a bound that doesn't hold."""
+    from boundwell import cli
+
+    path, target = _filed(spark, sf_dir, "npy"), _folder(spark, "cli")
+    with contextlib.redirect_stdout(io.StringIO()):
+        codes = [
+            ("compress", cli.main(["compress", path, f"{target}/run.chunks", "-w", str(VPW * VALUE_BYTES), "--json"], spark)),
+            ("verify", cli.main(["verify", path, f"{target}/run.chunks"], spark)),
+            ("verify closer", cli.main(["verify", path, f"{target}/run.chunks", "-e", "1e-9"], spark)),
+            ("decompress", cli.main(["decompress", f"{target}/run.chunks", f"{target}/back.npy"], spark)),
+            ("verify decoded", cli.main(["verify", f"{target}/back.npy", f"{target}/run.chunks", "-e", "1e-9"], spark)),
+        ]
+    return spark.createDataFrame(codes, "command string, code int")
+
+
+def q_experiment_run(spark, sf_dir):
+    """Experiment rows of three modes, stored as JSON, read back and joined with their lossless sizes."""
+    values, path = flat(spark, sf_dir), _folder(spark, "results")
+    runs = {"cluster": _run(), "residual": _run("residual", "relative", k_start=2, max_k=2, kmeans_iters=2)}
+    report.write_results(report.experiments(values, runs), path)
+    found = report.with_lossless(report.load_results(spark, path), packing.lossless(values).selectExpr("'cluster' AS name", "*"))
+    return found.select("name", "mode", "windows", "n_values", "raw_bytes", "violations", "unmatched", "passed", (F.col("lossless_ratio") > 0.9).alias("has_lossless"))
+
+
+def q_experiment_plan(spark, sf_dir):
+    """The runs that the groups plan, of the models whose files exist."""
+    path = _filed(spark, sf_dir, "npy")
+    plan = report.planned({"none": f"{path}/missing.npy", "weights": path})
+    return spark.createDataFrame([(n, c.mode, c.error_bound) for n, _, c, _ in plan], "name string, mode string, error_bound double")
+
+
+def q_seeded_start(spark, sf_dir):
+    """Starts of a k-means: as many as asked for, each a tuple of the stream."""
+    rows = pairs(spark, sf_dir)
+    starts = spark.createDataFrame([tuple(c) for c in kmeans.initial(rows, 64, 7, ("w", "t"))], "a double, b double")
+    there = rows.select(F.col("v0").cast("double").alias("a"), F.col("v1").cast("double").alias("b")).distinct()
+    return starts.join(there, ["a", "b"], "left").agg(F.count("*").alias("starts"), F.count_if(F.col("a").isNull()).alias("strangers"))
+
+
+def q_tuple_sample(spark, sf_dir):
+    """The sample of a fit: all tuples where there are no more than it asks for."""
+    rows = pairs(spark, sf_dir)
+    return kmeans.sample(rows, rows.count(), 64, Config(), ("w", "t")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("v0").cast("double")), 6).alias("v0"))
+
+
+def q_lossless_source(spark, sf_dir):
+    """Lossless sizes of a file's own bytes."""
+    path = f"{_folder(spark, 'lossless')}/all.npy"
+    tensors.write_npy(flat(spark, sf_dir), path)
+    sizes_ = packing.lossless_file(spark, path)
+    return sizes_.select("raw_bytes", ((F.col("plain_bytes") > 0) & (F.col("planes_bytes") < F.col("raw_bytes"))).alias("smaller"))
 
 
 def q_lossless(spark, sf_dir):
@@ -451,6 +643,7 @@ def _lloyd(times: int) -> str:
     return ", ".join([*parts, _near("a", cents)])
 
 
+_GAPPY = f"g AS (SELECT pos + {3 * VPW} * (pos // 4096) AS pos, x FROM flat WHERE pos % 5 <> 3 AND pos % 11 <> 0)"
 _DECODED = "SELECT w, i, CASE WHEN esc THEN x ELSE xhat END AS x FROM e"
 
 SQL: dict[str, str] = {
@@ -458,7 +651,6 @@ SQL: dict[str, str] = {
     "count_windows": _with(P) + "SELECT w, count(*) AS n, min(i) AS first, max(i) AS last FROM r GROUP BY w",
     "tail_window": _with(P) + "SELECT arg_max(n, w) AS tail, count(*) AS windows FROM (SELECT w, count(*) AS n FROM r GROUP BY w)",
     "limit_prefix": _with(_STREAM) + "SELECT pos, x FROM flat WHERE pos < 1000",
-    "concat_streams": _with(_STREAM) + "SELECT pos, x FROM flat WHERE pos < 500 UNION ALL SELECT event_id + 500, value::FLOAT FROM events WHERE event_id < 300",
     "concat_whole": _with(_STREAM) + "SELECT pos, x FROM flat UNION ALL SELECT event_id + (SELECT max(pos) + 1 FROM flat), value::FLOAT FROM events WHERE value IS NOT NULL",
     "widen": "SELECT o_orderkey AS pos, o_totalprice::FLOAT AS x FROM orders",
     "widen_int": "SELECT p_partkey AS pos, p_size::FLOAT AS x FROM part",
@@ -511,11 +703,34 @@ SQL: dict[str, str] = {
     "worst_fit": _with(P, _PAIRS, _grid(GRID), _near("a", "cents")) + "SELECT w, t, v0, v1, label FROM a ORDER BY dist DESC, w, t LIMIT 10",
     "strided_sample": _with(P) + "SELECT w, i, x FROM r WHERE i % 8 = 0",
     "vq_error": _with(P, _PAIRS, _grid(GRID), _near("a", "cents")) + "SELECT w, round(max(greatest(abs(c0 - v0::DOUBLE), abs(c1 - v1::DOUBLE))), 9) AS max_error FROM a GROUP BY w",
-    "restore": _with(_STREAM) + f"SELECT 'v' || (pos // {DIM})::VARCHAR AS name, (pos // {DIM}) * {DIM} AS offset, (pos % {DIM})::INT AS place, x FROM flat WHERE pos < 6400",
     "restore_whole": _with(_STREAM) + f"SELECT 'v' || (pos // {DIM})::VARCHAR AS name, (pos // {DIM}) * {DIM} AS offset, (pos % {DIM})::INT AS place, x FROM flat WHERE pos // {DIM} < (SELECT max(pos) // {DIM} FROM flat)",
     "run_stats": _with(Z, _encoded(EB), f"ws AS (SELECT w, n_values, occupied, n_outliers, max_error, occupied * 4 AS cb, n_values * (CASE WHEN occupied <= 256 THEN 1 WHEN occupied <= 65536 THEN 2 ELSE 4 END) AS lb, (n_values + 7) // 8 + n_outliers * 8 AS ob FROM (SELECT w, count(*) AS n_values, count(DISTINCT cell) AS occupied, count(*) FILTER (esc) AS n_outliers, max(rel) AS max_error FROM e GROUP BY w))")
     + "SELECT count(*) AS windows, sum(n_values)::BIGINT AS n_values, (4 * sum(n_values))::BIGINT AS raw_bytes, sum(cb + lb + ob)::BIGINT AS stored_bytes, sum(cb)::BIGINT AS codebook_bytes, sum(lb)::BIGINT AS label_bytes, 0::BIGINT AS code_bytes, sum(ob)::BIGINT AS outlier_bytes, sum(n_outliers)::BIGINT AS n_outliers, round(max(max_error), 9) AS max_error, min(occupied) AS min_occupied, max(occupied) AS max_occupied, "
     + "round((4 * sum(n_values))::DOUBLE / sum(cb + lb + ob), 9) AS ratio, round(8 * sum(cb + lb + ob)::DOUBLE / sum(n_values), 9) AS bits_per_value FROM ws",
     "pack_roundtrip": _with(Z, _encoded(EB)) + _DECODED,
+    "log_error": _with(P, _encoded(EB)) + "SELECT w, round(m, 9) AS log_error, round(exp(m) - 1, 9) AS as_relative FROM (SELECT w, coalesce(max(abs(c::DOUBLE - u)) FILTER (NOT esc), 0.0) AS m FROM e GROUP BY w)",
+    "compress_roundtrip": _with(_STREAM, _GAPPY) + f"SELECT pos, x, true AS held FROM g",
+    "verify_run": _with(_STREAM, _GAPPY, "c AS (SELECT count(*) AS n, count(*) FILTER (pos // 8192 = 3) AS lost, count(*) FILTER (pos % 7 = 1) AS holes, count(*) FILTER (x <> 0) AS other FROM g)")
+    + "SELECT 'whole' AS run, n::BIGINT AS n_values, 0::BIGINT AS violations, 0::BIGINT AS unmatched, true AS passed FROM c UNION ALL SELECT 'window lost', n - lost, 0, lost, lost = 0 FROM c UNION ALL SELECT 'values lost', n - holes, 0, holes, false FROM c UNION ALL SELECT 'other values', n, other, 0, false FROM c UNION ALL SELECT 'source lacks', n - holes, 0, holes, false FROM c",
+    "vq_chunks": _with(P) + "SELECT w, 'vq' AS mode, 4 AS k, 2 AS tuple_size, count(*) AS n_values, 32 AS centroid_bytes, 0 AS planes, 0 AS sign_bytes, 0::BIGINT AS n_outliers, 0.0::DOUBLE AS step, 8192::BIGINT AS window_values FROM r GROUP BY w",
+    "residual_tuples": _with(P) + f"SELECT w, 4 AS k, 3 AS tuple_size, count(*) AS n_values, 48 AS centroid_bytes, true AS held, {EB!r}::DOUBLE AS error_bound, 8192::BIGINT AS window_values, 0::BIGINT AS bad, 0::BIGINT AS unmatched FROM r GROUP BY w",
+    "window_report": _with(P, _encoded(EB)) + "SELECT w, 'cluster' AS mode, count(DISTINCT cell)::INT AS occupied, count(*) AS n_values, 4 * count(*) AS raw_bytes, 4 * count(DISTINCT cell) AS codebook_bytes, count(*) FILTER (esc) AS n_outliers, round(max(rel), 9) AS max_error, round(sum(rel) / count(*), 9) AS mean_error, 0 AS trials, 100.0::DOUBLE AS share FROM e GROUP BY w",
+    "read_npy": _with(_STREAM) + "SELECT pos, x FROM flat",
+    "read_safetensors": _with(_STREAM) + "SELECT 'part' || lpad((pos // 8192)::VARCHAR, 8, '0') AS name, pos, x FROM flat",
+    "read_raw": _with(_STREAM) + "SELECT pos, x FROM flat",
+    "read_windows": _with(_STREAM) + "SELECT pos // 5000 AS w, 0::BIGINT AS first, 4 * count(*) AS bytes FROM flat GROUP BY pos // 5000",
+    "write_files": _with(_STREAM) + "SELECT 'part-' || lpad((pos // 8192)::VARCHAR, 8, '0') || '.npy' AS file, count(*) AS n_values FROM flat GROUP BY pos // 8192",
+    "file_manifest": _with(_STREAM) + "SELECT 'part' || lpad((pos // 8192)::VARCHAR, 8, '0') AS name, 'F32' AS dtype, min(pos) AS offset, count(*) AS numel, 4 AS itemsize FROM flat GROUP BY pos // 8192",
+    "write_flat": _with(_STREAM) + "SELECT pos, x FROM flat",
+    "container_roundtrip": _with(Z, _encoded(EB)) + f"SELECT w * {VPW} + i AS pos, x FROM ({_DECODED})",
+    "container_footer": _with(Z, _encoded(EB)) + f"SELECT w, count(*) AS n_values, count(*) FILTER (esc) AS n_outliers, 1 AS tuple_size, {4 * VPW}::BIGINT AS window_size, {EB!r}::DOUBLE AS error_bound FROM e GROUP BY w",
+    "file_run": _with(P, _encoded(EB)) + "SELECT count(*)::BIGINT AS n_values, count(DISTINCT w) AS n_windows, round(max(rel), 9) AS max_error, 0::BIGINT AS violations, 0::BIGINT AS unmatched, true AS passed FROM e",
+    "codebook_tables": _with(P, _encoded(EB)) + "SELECT w, count(DISTINCT cell)::INT AS k, 1 AS tuple_size, (4 * count(DISTINCT cell))::INT AS centroid_bytes FROM e GROUP BY w",
+    "command_line": "SELECT * FROM (VALUES ('compress', 0), ('verify', 0), ('verify closer', 1), ('decompress', 0), ('verify decoded', 0)) AS t(command, code)",
+    "experiment_run": _with(P) + "SELECT name, name AS mode, count(DISTINCT w) AS windows, count(*) AS n_values, 4 * count(*) AS raw_bytes, 0::BIGINT AS violations, 0::BIGINT AS unmatched, true AS passed, CASE WHEN name = 'cluster' THEN true END AS has_lossless FROM r, (VALUES ('cluster'), ('residual')) AS t(name) GROUP BY name",
+    "experiment_plan": "SELECT * FROM (VALUES ('model-weights', 'cluster', 1e-4::DOUBLE), ('bound-1e-02', 'cluster', 1e-2::DOUBLE), ('bound-1e-03', 'cluster', 1e-3::DOUBLE), ('bound-1e-04', 'cluster', 1e-4::DOUBLE), ('bound-1e-05', 'cluster', 1e-5::DOUBLE), ('bound-1e-06', 'cluster', 1e-6::DOUBLE), ('method-cluster', 'cluster', 1e-4::DOUBLE), ('method-residual', 'residual', 1e-4::DOUBLE), ('method-vq', 'vq', 1e-4::DOUBLE)) AS t(name, mode, error_bound)",
+    "seeded_start": "SELECT 64::BIGINT AS starts, 0::BIGINT AS strangers",
+    "tuple_sample": _with(P, _PAIRS) + "SELECT count(*) AS n, round(sum(v0::DOUBLE), 6) AS v0 FROM t",
+    "lossless_source": _with(_STREAM) + "SELECT 4 * count(*) AS raw_bytes, true AS smaller FROM flat",
     "pack_residual_roundtrip": _with(Z) + "SELECT count(*)::BIGINT AS n_values, count(DISTINCT w) AS n_windows, 0::BIGINT AS violations, true AS passed FROM r",
 }

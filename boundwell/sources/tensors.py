@@ -2,7 +2,10 @@
 
 ``spark.read.format("tensors").load(path)`` has the columns name, pos, x: the tensors of a file end to end in order of their place in the file,
 widened to float32.  A partition is at most SLICE bytes of one tensor, read by place, so that a large file is read in
-parallel and never as a whole.  Paths may be local or URIs that pyarrow's file systems open.
+parallel and never as a whole.  A folder is its tensor files end to end, in order of their names.  Paths may be local or URIs that
+pyarrow's file systems open.
+
+``format("tensor_windows")`` reads the same values as blocks, a partition for each count window, so that a window needs no shuffle.
 """
 
 from __future__ import annotations
@@ -12,16 +15,17 @@ import io
 import json
 import math
 import struct
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from boundwell.operators.blocks import BLOCK, BLOCK_VALUES, block_batch, block_values, blocks, gathered, windows
+
 #: Bytes of a tensor that a partition reads.
 SLICE = 64 << 20
 #: Element types of safetensors headers and how their bytes are read; BF16 is the upper half of a float32. Fixed values of the format.
@@ -30,7 +34,7 @@ TYPES = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "BF16": "<u2", "I64": "<i8",
 
 @dataclass(frozen=True)
 class Tensor:
-    """A tensor of a stream: offset and numel in values, start in bytes of the file."""
+    """A tensor of a stream: offset and numel in values, start in bytes of its file. fortran: the file has its values with the first index fastest."""
 
     name: str
     dtype: str
@@ -39,6 +43,8 @@ class Tensor:
     numel: int
     itemsize: int
     start: int
+    path: str = ""
+    fortran: bool = False
 
 
 def opened(path: str):
@@ -51,6 +57,17 @@ def opened(path: str):
     return f, f.size()
 
 
+def exists(path: str) -> bool:
+    """Whether there is a file or folder at path."""
+    fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return fs.get_file_info(inner).type != pafs.FileType.NotFound
+
+
+def make_folder(path: str) -> None:
+    fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    fs.create_dir(inner, recursive=True)
+
+
 def widen(raw: bytes, dtype: str) -> np.ndarray:
     """Bytes of an element type as float32."""
     if dtype == "BF16":
@@ -89,22 +106,65 @@ def _npy(f) -> list[Tensor]:
     start = (12 if wide else 10) + n
     f.seek(12 if wide else 10)
     info = ast.literal_eval(f.read(n).decode("utf-8" if head[6] > 2 else "latin1"))
-    if info["fortran_order"] and len(info["shape"]) > 1:
-        raise ValueError("arrays in Fortran order are not supported")
     dtype = np.dtype(info["descr"])
-    return [Tensor("array", dtype.str, tuple(info["shape"]), 0, math.prod(info["shape"]), dtype.itemsize, start)]
+    return [Tensor("array", dtype.str, tuple(info["shape"]), 0, math.prod(info["shape"]), dtype.itemsize, start, fortran=info["fortran_order"] and len(info["shape"]) > 1)]
 
 
-def manifest_of(path: str, dtype: str = "float32") -> tuple[list[Tensor], int]:
-    """The tensors of a file, by its ending, and its size. dtype is that of headerless files; their last partial element is left out."""
+def _tensors(path: str, dtype: str) -> tuple[list[Tensor], int]:
+    """The tensors of one file and its size."""
     f, size = opened(path)
     with f:
         if path.endswith(".safetensors"):
-            return _safetensors(f), size
-        if path.endswith(".npy"):
-            return _npy(f), size
-        kind = np.dtype(dtype)
-        return [Tensor("raw", kind.str, (size // kind.itemsize,), 0, size // kind.itemsize, kind.itemsize, 0)], size
+            found = _safetensors(f)
+        elif path.endswith(".npy"):
+            found = _npy(f)
+        else:
+            kind = np.dtype(dtype)
+            found = [Tensor("raw", kind.str, (size // kind.itemsize,), 0, size // kind.itemsize, kind.itemsize, 0)]
+    return [replace(t, path=path) for t in found], size
+
+
+def files_of(path: str) -> list[str]:
+    """The file at path, or a folder's files in order of their names, without those that begin with a dot or an underscore."""
+    fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    if fs.get_file_info(inner).type != pafs.FileType.Directory:
+        return [path]
+    names = sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(inner)) if i.type == pafs.FileType.File)
+    return [f"{path.rstrip('/')}/{n}" for n in names if n[0] not in "._"]
+
+
+def manifest_of(path: str, dtype: str = "float32") -> tuple[list[Tensor], int]:
+    """The tensors of a file, by its ending, or of a folder's files, and their size. dtype is that of headerless files; their last partial element is left out."""
+    out, total, at = [], 0, 0
+    for file in files_of(path):
+        found, size = _tensors(file, dtype)
+        out += [replace(t, offset=t.offset + at) for t in found]
+        total, at = total + size, at + sum(t.numel for t in found)
+    return out, total
+
+
+def data_range(path: str) -> tuple[int, int]:
+    """Where a file's data begin, after its header, and end."""
+    f, size = opened(path)
+    with f:
+        start = safetensors_header(f)[1] if path.endswith(".safetensors") else _npy(f)[0].start if path.endswith(".npy") else 0
+    return start, size
+
+
+def tensor_values(t: Tensor, first: int, n: int) -> Iterator[np.ndarray]:
+    """n values of a tensor from the place first on, widened, in pieces."""
+    if t.fortran:
+        # The last index is the slowest in the file, so neighbours are far apart there.
+        stored = np.memmap(t.path, np.dtype(TYPES.get(t.dtype, t.dtype)), "r", t.start, (t.numel,))
+        for at in range(first, first + n, BLOCK_VALUES):
+            place = np.unravel_index(np.arange(at, min(at + BLOCK_VALUES, first + n)), t.shape)
+            yield stored[np.ravel_multi_index(place, t.shape, order="F")].astype(np.float32)
+        return
+    f, _ = opened(t.path)
+    with f:
+        for at in range(first, first + n, BLOCK_VALUES):
+            f.seek(t.start + at * t.itemsize)
+            yield widen(f.read(min(BLOCK_VALUES, first + n - at) * t.itemsize), t.dtype)
 
 
 class _Slice(InputPartition):
@@ -128,14 +188,58 @@ class _Reader(DataSourceReader):
         return out
 
     def read(self, partition: _Slice) -> Iterator[pa.RecordBatch]:
-        t = partition.tensor
-        f, _ = opened(self.path)
-        with f:
-            for first in range(partition.first, partition.first + partition.n, 1 << 20):
-                n = min(1 << 20, partition.first + partition.n - first)
-                f.seek(t.start + first * t.itemsize)
-                x = widen(f.read(n * t.itemsize), t.dtype)
-                yield pa.RecordBatch.from_arrays([pa.array([t.name] * len(x)), pa.array(np.arange(t.offset + first, t.offset + first + len(x))), pa.array(x)], ["name", "pos", "x"])
+        t, at = partition.tensor, partition.tensor.offset + partition.first
+        for x in tensor_values(t, partition.first, partition.n):
+            yield pa.RecordBatch.from_arrays([pa.array([t.name] * len(x)), pa.array(np.arange(at, at + len(x))), pa.array(x)], ["name", "pos", "x"])
+            at += len(x)
+
+
+class _Window(InputPartition):
+    def __init__(self, w: int, parts: list[tuple[Tensor, int, int]]) -> None:
+        super().__init__(w)
+        self.w, self.parts = w, parts
+
+
+class _WindowReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.path, self.dtype, self.size = options["path"], options.get("dtype", "float32"), int(options["values_per_window"])
+        limit = options.get("limit_bytes")
+        self.limit = max(1, int(limit) // 4) if limit else None
+
+    def partitions(self) -> list[_Window]:
+        out: list[_Window] = []
+        for t in manifest_of(self.path, self.dtype)[0]:
+            stop = t.offset + t.numel if self.limit is None else min(t.offset + t.numel, self.limit)
+            at = t.offset
+            while at < stop:
+                w = at // self.size
+                end = min(stop, (w + 1) * self.size)
+                if not out or out[-1].w != w:
+                    out.append(_Window(w, []))
+                out[-1].parts.append((t, at - t.offset, end - at))
+                at = end
+        return out
+
+    def read(self, partition: _Window) -> Iterator[pa.RecordBatch]:
+        place = 0
+        for t, first, n in partition.parts:
+            for x in tensor_values(t, first, n):
+                yield block_batch(partition.w, place, x)
+                place += len(x)
+
+
+class WindowSource(DataSource):
+    """Options: path, values_per_window, dtype (headerless files), limit_bytes (of float32 values)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tensor_windows"
+
+    def schema(self) -> str:
+        return BLOCK
+
+    def reader(self, schema) -> DataSourceReader:
+        return _WindowReader(dict(self.options))
 
 
 class TensorSource(DataSource):
@@ -161,6 +265,15 @@ def read_stream(spark: SparkSession, path: str, dtype: str = "float32", limit_by
     return reader.load(path)
 
 
+def read_windows(spark: SparkSession, path: str, values_per_window: int, dtype: str = "float32", limit_bytes: int | None = None) -> DataFrame:
+    """The blocks of a tensor file's windows, each window in a partition of its own and in order."""
+    spark.dataSource.register(WindowSource)
+    reader = spark.read.format("tensor_windows").option("dtype", dtype).option("values_per_window", str(values_per_window))
+    if limit_bytes is not None:
+        reader = reader.option("limit_bytes", str(limit_bytes))
+    return reader.load(path)
+
+
 def manifest(spark: SparkSession, path: str, dtype: str = "float32") -> DataFrame:
     """(name, dtype, shape, offset, numel, itemsize) of a file's tensors."""
     rows = [(t["name"], t["dtype"], list(t["shape"]), t["offset"], t["numel"], t["itemsize"]) for t in map(asdict, manifest_of(path, dtype)[0])]
@@ -177,13 +290,60 @@ def raw_bytes(path: str, limit: int | None = None, piece: int = 1 << 20) -> Iter
             yield data
 
 
-def write_npy(stream: DataFrame, path: str) -> int:
-    """A stream as one flat .npy file, written in order, a batch at a time; the number of values."""
-    n = stream.count()
+def npy_header(n: int) -> bytes:
     head = io.BytesIO()
     np.lib.format.write_array_header_1_0(head, {"descr": "<f4", "fortran_order": False, "shape": (n,)})
+    return head.getvalue()
+
+
+def write_flat(path: str, n: int, arrays: Iterable[np.ndarray]) -> int:
+    """n values that come as arrays in order, as one flat .npy file; the number of values."""
     with open(path, "wb") as f:
-        f.write(head.getvalue())
-        for row in stream.orderBy("pos").select(F.col("x")).toLocalIterator():
-            f.write(struct.pack("<f", row[0]))
+        f.write(npy_header(n))
+        for x in arrays:
+            f.write(np.ascontiguousarray(x, "<f4").data)
     return n
+
+
+def write_npy(stream: DataFrame, path: str, values_per_block: int = BLOCK_VALUES) -> int:
+    """A stream as one flat .npy file, written in order, a block of values in memory at a time; the number of values."""
+    parts = blocks(stream, values_per_block)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, i, x in windows(batches):
+            yield block_batch(w, i, x)
+
+    rows = gathered(parts).mapInArrow(merged, BLOCK).orderBy("w").toLocalIterator()
+    return write_flat(path, stream.where("x is not null").count(), (block_values(r["first"], r["places"], r["data"])[1] for r in rows))
+
+
+def file_bytes(kind: str, name: str, x: np.ndarray) -> bytes:
+    """One flat float32 tensor as the bytes of a file of a kind: npy, safetensors or bin (headerless)."""
+    data = np.ascontiguousarray(x, "<f4").tobytes()
+    if kind == "npy":
+        return npy_header(len(x)) + data
+    if kind == "safetensors":
+        head = json.dumps({name: {"dtype": "F32", "shape": [len(x)], "data_offsets": [0, len(data)]}}).encode()
+        return struct.pack("<Q", len(head)) + head + data
+    if kind == "bin":
+        return data
+    raise ValueError(f"unknown kind of file: {kind}")
+
+
+def write_files(stream: DataFrame, path: str, values_per_file: int, kind: str = "npy") -> DataFrame:
+    """A stream as a folder of files, one for each values_per_file values, written by the tasks: (file, n_values).
+
+    The folder must be one that all executors share. A file is written under another name and renamed, so that a task that runs again replaces it whole.
+    """
+    make_folder(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, folder = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        for w, _, x in windows(batches):
+            name = f"part-{w:08d}.{kind}"
+            with own.open_output_stream(f"{folder}/_{name}") as f:
+                f.write(file_bytes(kind, f"part{w:08d}", x))
+            own.move(f"{folder}/_{name}", f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(x)], pa.int64())], ["file", "n_values"])
+
+    return gathered(blocks(stream, values_per_file)).mapInArrow(run, "file string, n_values long")

@@ -1,7 +1,7 @@
 """Cluster mode on a stream of values: each micro-batch's windows are encoded as they come.
 
 Windows are independent and every value carries its explicit place, so no state is held; a batch that brings part of a window
-is encoded as a window of its own, numbered by batch.
+is encoded as a chunk of its own, which keeps its values' places.
 """
 
 from __future__ import annotations
