@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundwell.llm.runtime import cut, remove, scratch
+from boundwell.llm.runtime import cut
+from boundwell.shared import remove, scratch
 
 CHUNK = 1 << 20
 CRLF = b"\r\n"

@@ -72,7 +72,7 @@ def test_no_whole_payload_is_moved(spark):
 def test_the_archive_is_deleted(spark):
     import glob
 
-    from boundwell.llm.runtime import use_checkpoint_dir
+    from boundwell.shared import use_checkpoint_dir
 
     pages = spark.createDataFrame(ROWS, PAGE)
     assert W.warc_round_trip(pages).count() == len(ROWS)
