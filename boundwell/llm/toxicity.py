@@ -97,15 +97,38 @@ def _once(doc: np.ndarray, features: list[np.ndarray], wanted: np.ndarray | None
     return both >> (BITS + CHECK), both & ((1 << (BITS + CHECK)) - 1)
 
 
+#: Features that a task counts before it hands them on.
+TASK_FEATURES = 1 << 20
+
+
 def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, toxic) to rows (feature, toxic, clean): how many documents have it, a slice of texts at a time."""
+    """Rows (text, toxic) to rows (feature, toxic, clean): how many of a task's documents have it."""
+    held, size = [], 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        number, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return number, np.stack([np.bincount(at, np.concatenate([h[1][k] for h in held]), len(number)).astype(np.int64) for k in (0, 1)])
+
+    def told() -> pa.RecordBatch:
+        number, (toxic, clean) = summed()
+        return pa.RecordBatch.from_arrays([pa.array(number), pa.array(toxic), pa.array(clean)], ["feature", "toxic", "clean"])
+
     for batch in batches:
         label = batch.column("toxic").to_numpy().astype(np.int64)
         for first, doc, features, _ in column_tokens(batch.column("text")):
             of, feature = _once(doc, features)
             number, at = np.unique(feature, return_inverse=True)
             toxic = np.bincount(at, label[first + of], len(number)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(toxic), pa.array(np.bincount(at, minlength=len(number)) - toxic)], ["feature", "toxic", "clean"])
+            held.append((number, np.stack([toxic, np.bincount(at, minlength=len(number)) - toxic])))
+            size += len(number)
+            if size > 2 * TASK_FEATURES:
+                held = [summed()]
+                size = len(held[0][0])
+                if size > TASK_FEATURES:
+                    yield told()
+                    held, size = [], 0
+    if held:
+        yield told()
 
 
 def _count_everywhere(candidates: np.ndarray):
@@ -301,11 +324,12 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, bound: int) -> DataF
 
 def training_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
     """(text, toxic) of the labelled rows that train, of equal text and label one: at most `sample` ids."""
-    # At most `sample` rows of two numbers: the only table that is broadcast here.
+    # At most `sample` rows of two numbers are broadcast, first all that are picked, then those whose text is the first of its kind.
     picked = F.broadcast(cut(_sample(labels, id_col, label_col, sample)))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.join(picked, F.col("id") == F.col("label_id")).select(F.sha2("text", 256).alias("signature"), "toxic", "text")
-    return cut(found.dropDuplicates(["signature", "toxic"]).select("text", "toxic"))
+    signed = texts.join(picked, F.col("id") == F.col("label_id")).select("label_id", "toxic", F.sha2("text", 256).alias("signature"))
+    unlike = cut(signed.groupBy("signature", "toxic").agg(F.min("label_id").alias("label_id")).select("label_id", "toxic").distinct())
+    return cut(texts.join(F.broadcast(unlike), F.col("id") == F.col("label_id")).select("text", "toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = LABEL_SAMPLE) -> Model:
