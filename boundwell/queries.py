@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boundwell.config import CODE_MAX, VALUE_BYTES, Config
+from boundwell.config import CODE_MAX, VALUE_BYTES, Config, human, parse_size
 from boundwell.functions import scalar as S
 from boundwell.operators import blocks, cluster, kmeans, packing, residual, sizes, stream, verify
 from boundwell.plans import compress as plans
@@ -555,6 +555,32 @@ def q_search_k(spark, sf_dir):
     return spark.createDataFrame([(t.k, int(t.est_bytes), t is best) for t in trials], "k int, est_bytes long, chosen boolean")
 
 
+def q_report_table(spark, sf_dir):
+    """The k histogram of the stream as the lines of a Markdown report, set between its markers."""
+    rows = [r.asDict() for r in q_k_histogram(spark, sf_dir).collect()]
+    text = report.splice("# Runs\n\n<!-- k -->\nold\n<!-- /k -->\n", "k", report.markdown(rows, ["k", "windows", "none"]))
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "line int, text string")
+
+
+def q_size_texts(spark, sf_dir):
+    """Sizes as the command line reads and writes them."""
+    texts = ["7", "4096", "1.5 KiB", "128MB", "2 G", "1TB"]
+    return spark.createDataFrame([(t, parse_size(t), human(parse_size(t))) for t in texts], "text string, bytes long, shown string")
+
+
+def q_window_plan(spark, sf_dir):
+    """How many windows of a size fit a budget, at most eight."""
+    found = [(b, w, report.plan_concurrency(b, w, 8)) for b in (0, 100, 1000) for w in (0, 30, 2000)]
+    return spark.createDataFrame(found, "budget long, window long, at_a_time int")
+
+
+def q_search_windows(spark, sf_dir):
+    """The trials of each window's own search for k, with the settings' defaults."""
+    chunks = plans.compress(flat(spark, sf_dir), _run("residual", "absolute"))
+    each = chunks.select("w", F.col("k").alias("best"), F.inline("trials"))
+    return each.select("w", "k", F.col("est_bytes").cast("long").alias("est_bytes"), (F.col("k") == F.col("best")).alias("chosen"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 
@@ -729,6 +755,10 @@ SQL: dict[str, str] = {
     "command_line": "SELECT * FROM (VALUES ('compress', 0), ('verify', 0), ('verify closer', 1), ('decompress', 0), ('verify decoded', 0)) AS t(command, code)",
     "experiment_run": _with(P) + "SELECT name, name AS mode, count(DISTINCT w) AS windows, count(*) AS n_values, 4 * count(*) AS raw_bytes, 0::BIGINT AS violations, 0::BIGINT AS unmatched, true AS passed, CASE WHEN name = 'cluster' THEN true END AS has_lossless FROM r, (VALUES ('cluster'), ('residual')) AS t(name) GROUP BY name",
     "experiment_plan": "SELECT * FROM (VALUES ('model-weights', 'cluster', 1e-4::DOUBLE), ('bound-1e-02', 'cluster', 1e-2::DOUBLE), ('bound-1e-03', 'cluster', 1e-3::DOUBLE), ('bound-1e-04', 'cluster', 1e-4::DOUBLE), ('bound-1e-05', 'cluster', 1e-5::DOUBLE), ('bound-1e-06', 'cluster', 1e-6::DOUBLE), ('method-cluster', 'cluster', 1e-4::DOUBLE), ('method-residual', 'residual', 1e-4::DOUBLE), ('method-vq', 'vq', 1e-4::DOUBLE)) AS t(name, mode, error_bound)",
+    "report_table": _with(P, _params(EB), "h AS (SELECT k, count(*) AS n FROM p GROUP BY k)", "t AS (SELECT 4 + row_number() OVER (ORDER BY k) AS line, '| 2^' || log2(k)::INT || ' | ' || n || ' | - |' AS text FROM h)")
+    + "SELECT line::INT AS line, text FROM t UNION ALL SELECT * FROM (VALUES (0, '# Runs'), (1, ''), (2, '<!-- k -->'), (3, '| k | windows | none |'), (4, '|-|-|-|')) UNION ALL SELECT (5 + count(*))::INT, '<!-- /k -->' FROM h",
+    "size_texts": "SELECT * FROM (VALUES ('7', 7::BIGINT, '7 B'), ('4096', 4096, '4.00 KiB'), ('1.5 KiB', 1536, '1.50 KiB'), ('128MB', 134217728, '128.00 MiB'), ('2 G', 2147483648, '2.00 GiB'), ('1TB', 1099511627776, '1.00 TiB')) AS t(text, bytes, shown)",
+    "window_plan": 'SELECT budget, "window", greatest(1, least(8, budget // greatest(1, "window")))::INT AS at_a_time FROM (VALUES (0::BIGINT), (100), (1000)) AS b(budget), (VALUES (0::BIGINT), (30), (2000)) AS w("window")',
     "seeded_start": "SELECT 64::BIGINT AS starts, 0::BIGINT AS strangers",
     "tuple_sample": _with(P, _PAIRS) + "SELECT count(*) AS n, round(sum(v0::DOUBLE), 6) AS v0 FROM t",
     "lossless_source": _with(_STREAM) + "SELECT 4 * count(*) AS raw_bytes, true AS smaller FROM flat",
