@@ -54,3 +54,13 @@ def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     plan = U.judge_urls(pages, rules(spark, RULES))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoop"))
+
+
+def test_common_hosts_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(U, "PART_ROWS", 3)
+    urls = [f"http://{h}/{'en/' * (i % 2)}{i}" for i in range(25) for h in ("example.net", "a.example.net", "b.org", "c.com")]
+    check(spark, [*urls, *URLS], RULES)
+
+
+def test_a_host_of_thousands_of_labels(spark):
+    check(spark, ["http://" + "a." * 2000 + "example.net/en/x", "http://" + "." * 1500 + "org/fr/"], RULES)
