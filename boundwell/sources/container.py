@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from boundwell.operators.packing import CHUNK, CHUNK_TYPES
-from boundwell.sources.tensors import opened
+from boundwell.sources.tensors import created, opened
 
 # Fixed values of the format.
 MAGIC = b"WPRS"
@@ -35,7 +35,7 @@ def write_container(chunks: DataFrame, path: str, meta: dict) -> int:
     The footer has the run's error bound and window size, in bytes, whether or not meta names them.
     """
     entries, known = [], {}
-    with open(path, "wb") as f:
+    with created(path) as f:
         f.write(HEAD.pack(MAGIC, VERSION, 0))
         for row in chunks.orderBy("w").toLocalIterator():
             c = row.asDict()

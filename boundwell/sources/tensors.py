@@ -57,6 +57,12 @@ def opened(path: str):
     return f, f.size()
 
 
+def created(path: str):
+    """A new file for writing in order."""
+    fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return fs.open_output_stream(inner)
+
+
 def exists(path: str) -> bool:
     """Whether there is a file or folder at path."""
     fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
@@ -298,10 +304,10 @@ def npy_header(n: int) -> bytes:
 
 def write_flat(path: str, n: int, arrays: Iterable[np.ndarray]) -> int:
     """n values that come as arrays in order, as one flat .npy file; the number of values."""
-    with open(path, "wb") as f:
+    with created(path) as f:
         f.write(npy_header(n))
         for x in arrays:
-            f.write(np.ascontiguousarray(x, "<f4").data)
+            f.write(np.ascontiguousarray(x, "<f4").tobytes())
     return n
 
 
