@@ -1,7 +1,7 @@
 """Byte-level BPE encoding by tree concatenation, and decoding.
 
 A text between special tokens that is longer than two LEAFs is halved again and again, wherever its middle falls; the leaves of
-all texts of a batch are encoded in one parallel call, and the halves are joined bottom-up.  (A Codec may be told to cut a text first
+very long texts are encoded by several threads, and the halves are joined bottom-up.  (A Codec may be told to cut a text first
 where no token can cross, before a space that stands between two non-spaces, so that only text without such places is halved.)  At a join the text of a window of tokens on both sides is encoded anew.  A window is good when it agrees
 with the left half on AGREE whole tokens inside its start and with the right half on AGREE inside its end; otherwise the side that does
 not agree grows to twice its tokens, at most to the half's edge, where there is nothing left to agree with.  A byte-pair
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 #: Texts beyond twice as many characters are halved.
 LEAF = 1 << 12
+#: Leaves of a text from which they are encoded by several threads.
+PARALLEL_LEAVES = 64
 #: Tokens that a window has on each side of a join at first, and those that it must share with each half.
 WINDOW = 16
 AGREE = 4
@@ -119,24 +121,28 @@ class Codec:
         return out
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        plans, leaves = [], []
-        halved = False
+        plans, leaves, parts = [], [], []
 
-        def tree(text: str):
-            nonlocal halved
+        def tree(text: str, part: bool):
             if len(text) <= 2 * self.leaf:
                 leaves.append(text)
+                if part:
+                    parts.append(len(leaves) - 1)
                 return len(leaves) - 1, text
-            half, halved = len(text) // 2, True
-            return tree(text[:half]), tree(text[half:]), text
+            half = len(text) // 2
+            return tree(text[:half], part), tree(text[half:], part), text
 
         for text in texts:
-            plans.append([p if isinstance(p, int) else tree(c) for p in self._parts(text) for c in ([None] if isinstance(p, int) else self._chunks(p))])
-        if halved and self.threads > 1:
+            plans.append([p if isinstance(p, int) else tree(c, len(c) > PARALLEL_LEAVES * self.leaf) for p in self._parts(text) for c in ([None] if isinstance(p, int) else self._chunks(p))])
+        # A very long text would keep its task waiting; the library encodes outside of the interpreter's lock.
+        done: list[np.ndarray | None] = [None] * len(leaves)
+        if parts and self.threads > 1:
             with ThreadPoolExecutor(self.threads) as pool:
-                done = list(pool.map(self.encode_leaf, leaves))
-        else:
-            done = [self.encode_leaf(x) for x in leaves]
+                for k, ids in zip(parts, pool.map(self.encode_leaf, [leaves[k] for k in parts]), strict=True):
+                    done[k] = ids
+        for k, text in enumerate(leaves):
+            if done[k] is None:
+                done[k] = self.encode_leaf(text)
 
         def ids(node) -> np.ndarray:
             if isinstance(node, int):
