@@ -53,8 +53,10 @@ class PrefixHash:
 
     def __init__(self, buf: np.ndarray, seed: int = 1, base: int = BASE) -> None:
         up, self.down = powers(len(buf) + 1, base)
+        terms = table(seed)[buf]
+        terms *= up[: len(buf)]
         self.sums = np.zeros(len(buf) + 1, U)
-        np.cumsum(table(seed)[buf] * up[: len(buf)], out=self.sums[1:])
+        np.cumsum(terms, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of buf[start:end], elementwise; slices of different lengths may still be told apart by mix."""

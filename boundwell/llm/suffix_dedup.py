@@ -52,8 +52,8 @@ LENGTH = 200
 GRAM_PART = 4
 #: Bytes of a text that are looked at together.
 SEGMENT = 1 << 19
-#: Classes of one anchor string that a task sorts together.
-GROUP = 20_000
+#: Classes of one anchor string that a task sorts together: their contexts' prefix hashes take some 30 bytes a byte.
+GROUP = 4_096
 LARGE = U(2**64 - 1)
 
 
@@ -242,16 +242,16 @@ class Suffixes:
             run = local // width
             other = begin[active] + (run ^ 1) * width
             stop = np.minimum(other + width, begin[active] + size[active])
-            lo, hi = np.minimum(other, stop), stop
+            lo, hi = np.minimum(other, stop), stop.copy()
             first, top = lo.copy(), run % 2 == 0
             x = order[active]
-            while (open_ := lo < hi).any():
-                mid = (lo + hi) // 2
-                y = order[np.minimum(mid, len(order) - 1)]
-                lim = limit[x]
+            # Only elements that still search are compared: the others' places may be in a group with another limit.
+            while len(open_ := np.flatnonzero(lo < hi)):
+                mid = (lo[open_] + hi[open_]) // 2
+                own, y, up = x[open_], order[mid], top[open_]
                 # Left elements go before equal ones of the right run, right elements after.
-                before = self.less(at[np.where(top, y, x)], at[np.where(top, x, y)], lim) == top
-                lo, hi = np.where(open_ & before, mid + 1, lo), np.where(open_ & ~before, mid, hi)
+                before = self.less(at[np.where(up, y, own)], at[np.where(up, own, y)], limit[own]) == up
+                lo[open_], hi[open_] = np.where(before, mid + 1, lo[open_]), np.where(before, hi[open_], mid)
             pair = begin[active] + (run // 2) * 2 * width
             place = pair + local % width + (lo - first)
             merged = order.copy()

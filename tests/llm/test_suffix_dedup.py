@@ -129,3 +129,16 @@ def test_colliding_anchor_hashes_decide_nothing(spark, monkeypatch):
     batch = batch.set_column(2, "hi", pa.array([30] * 3, pa.int32()))
     (out,) = S._sort_contexts(40)(iter([batch]))
     assert sorted(out.column("key").to_pylist()) == [1, 3]
+
+
+def test_groups_of_different_limits_are_sorted_together():
+    """A group of long suffixes beside one of short ones at the end of the buffer."""
+    rng = random.Random(6)
+    data = bytes(rng.choice(b"ab") for _ in range(400))
+    group = np.repeat([0, 1, 2], [37, 50, 21])
+    limit = np.array([90, 12, 60])[group]
+    at = np.concatenate([rng.sample(range(300), 37), rng.sample(range(330, 388), 50), rng.sample(range(340), 21)])
+    order = S.Suffixes(np.frombuffer(data, np.uint8)).order(group, at, limit)
+    for g in (0, 1, 2):
+        own = [i for i in order.tolist() if group[i] == g]
+        assert [data[at[i] : at[i] + limit[i]] for i in own] == sorted(data[at[i] : at[i] + limit[i]] for i in np.flatnonzero(group == g))
