@@ -526,9 +526,8 @@ def q_seeded_start(spark, sf_dir):
 
 
 def q_tuple_sample(spark, sf_dir):
-    """The sample of a fit: all tuples where there are no more than it asks for."""
-    rows = pairs(spark, sf_dir)
-    return kmeans.sample(rows, rows.count(), 64, Config(), ("w", "t")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("v0").cast("double")), 6).alias("v0"))
+    """The sample of a fit: all tuples of a window where it has no more than are asked for, in a stream of any length."""
+    return kmeans.sample(pairs(spark, sf_dir), 64, Config(), ("w", "t")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("v0").cast("double")), 6).alias("v0"))
 
 
 def q_lossless_source(spark, sf_dir):
